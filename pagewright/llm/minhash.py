@@ -6,10 +6,11 @@ packed signatures estimate their similarity, corrected for the chance of 1 in 16
 below the threshold go, and every other one is confirmed on the full sets.
 
 No step lists all pairs of a bucket. First each member is compared with the bucket's smallest member only. Members that this leaves in different
-groups are then compared by their signatures in blocks of bounded size, and only pairs that pass the estimate leave a block.
+groups are then compared by their signatures in blocks of bounded size, in the first bucket that two of them share; those that pass are compared by
+longer signatures of 1024 minima, and only pairs that pass these too leave the block. So what leaves it are links and pairs close below the threshold.
 
-A pair at the threshold of 0.75 shares no band key with a probability of (1 - 0.75**4)**32 = 5e-6, and fails the estimate (five standard deviations
-below the threshold) with one of 3e-7.
+A pair at the threshold of 0.75 shares no band key with a probability of (1 - 0.75**4)**32 = 5e-6, and fails one of the estimates (4.5 standard
+deviations below the threshold) with one of 7e-6.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ WORDS = 5
 MINIMA = 128
 BAND_ROWS = 4
 BITS = 4
+#: Minima of the longer signatures that documents get which stay in question after the first comparison.
+LONG_MINIMA = 1024
 #: Rows of one side of a block in which signatures are compared.
 BLOCK_ROWS = 1024
 _LANES = MINIMA * BITS // 64
 _random = np.random.default_rng(20240229)
-_MULTIPLY = _random.integers(1, 1 << 63, MINIMA, dtype=U64) * U64(2) + U64(1)
-_ADD = _random.integers(0, 1 << 63, MINIMA, dtype=U64)
+_MULTIPLY = _random.integers(1, 1 << 63, LONG_MINIMA, dtype=U64) * U64(2) + U64(1)
+_ADD = _random.integers(0, 1 << 63, LONG_MINIMA, dtype=U64)
 _PLACE = _random.integers(1, 1 << 63, WORDS, dtype=U64) * U64(2) + U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -76,28 +79,37 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (rows of 32) and packed low bits (rows of 8) of non-empty sets."""
+def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """For each of some non-empty sets, the minima under n hash functions, mixed so that their low bits are as good as any."""
     grams = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    least = np.empty((MINIMA, len(sets)), U64)
-    for k in range(MINIMA):
+    least = np.empty((n, len(sets)), U64)
+    for k in range(n):
         least[k] = np.minimum.reduceat(grams * _MULTIPLY[k] + _ADD[k], starts)
-    least = mixed(least).T
-    bands = np.ascontiguousarray(least).reshape(len(sets), -1, BAND_ROWS)
+    return np.ascontiguousarray(mixed(least).T)
+
+
+def packed(least: np.ndarray) -> np.ndarray:
+    """The low bits of the minima, 16 to a word."""
+    low = (least & U64((1 << BITS) - 1)).reshape(len(least), -1, 64 // BITS)
+    return (low << (np.arange(64 // BITS, dtype=U64) * U64(BITS))).sum(axis=2, dtype=U64).view(np.int64)
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (rows of 32) and packed low bits (rows of 8) of non-empty sets."""
+    least = minima(sets, MINIMA)
+    bands = least.reshape(len(sets), -1, BAND_ROWS)
     keys = mixed((bands * _PLACE[:BAND_ROWS]).sum(axis=2, dtype=U64) + np.arange(bands.shape[1], dtype=U64) * _ADD[0])
-    low = (least & U64((1 << BITS) - 1)).reshape(len(sets), _LANES, 64 // BITS)
-    packed = (low << (np.arange(64 // BITS, dtype=U64) * U64(BITS))).sum(axis=2, dtype=U64)
-    return keys.view(np.int64), packed.view(np.int64)
+    return keys.view(np.int64), packed(least)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        for a, b, data, offsets in text_pieces(ids, texts):
+        for a, b, data, offsets in text_pieces(texts):
             sets = shingle_sets(data, offsets)
             full = [s for s in sets if len(s)]
-            keys, packed = signatures(full) if full else (np.zeros((0, MINIMA // BAND_ROWS), np.int64), np.zeros((0, _LANES), np.int64))
+            keys, bits = signatures(full) if full else (np.zeros((0, MINIMA // BAND_ROWS), np.int64), np.zeros((0, _LANES), np.int64))
             there = np.array([len(s) > 0 for s in sets])
             at = np.where(there, np.cumsum(there) - 1, -1)
             take = pa.array(at, mask=~there)
@@ -106,7 +118,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.slice(a, b - a),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pc.take(lists(packed), take),
+                    pc.take(lists(bits), take),
                     pc.take(lists(keys), take),
                 ],
                 ["doc_id", "n_shingles", "set_key", "bits", "bands"],
@@ -115,13 +127,29 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in text_pieces(batch.column(0), batch.column(1)):
+        for a, b, data, offsets in text_pieces(batch.column(1)):
             sets = shingle_sets(data, offsets)
             offs = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
             values = pa.array(np.concatenate(sets).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offs), values)], ["id", "grams"])
 
 
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 100):
+            part = batch.slice(at, 100)
+            bits = packed(minima([np.asarray(g.values).view(U64) for g in part.column("grams")], LONG_MINIMA))
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists(bits)], ["id", "long"])
+
+
+def _alike(x: np.ndarray, minima_: int) -> np.ndarray:
+    """The estimate for signatures whose words differ by x (its last axis is used up)."""
+    x |= x >> U64(1)
+    x |= x >> U64(2)
+    differ = np.bitwise_count(x & U64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
+    return 1 - differ / minima_ / (1 - 2.0**-BITS)
+
+
 def estimate(a: Column, b: Column) -> Column:
     """The similarity that two packed signatures suggest: the share of equal low bits, less what chance alone gives."""
     differ = []
@@ -133,39 +161,44 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 - reduce(lambda x, y: x + y, differ) / F.lit(MINIMA) / F.lit(1 - 2.0**-BITS)
 
 
-def least_estimate(threshold: float) -> float:
-    """Five standard deviations of the estimate below the threshold."""
+def least_estimate(threshold: float, minima_: int = MINIMA) -> float:
+    """4.5 standard deviations of the estimate below the threshold."""
     p = threshold + (1 - threshold) * 2.0**-BITS
-    return threshold - 5 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - 2.0**-BITS)
+    return threshold - 4.5 * (p * (1 - p) / minima_) ** 0.5 / (1 - 2.0**-BITS)
+
 
+def _across(threshold: float):
+    """Pairs of a block whose groups differ, whose signatures are alike enough and that share no earlier bucket."""
+    least, least_long = least_estimate(threshold), least_estimate(threshold, LONG_MINIMA)
 
-def _across(least: float):
-    """Pairs of a block whose groups differ and whose signatures are alike enough."""
-    nibble = U64(0x1111111111111111)
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        return np.asarray(table.column(name).combine_chunks().flatten()).view(U64).reshape(len(table), -1)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, ["key", "i", "j"]):
             col = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "block", "id", "part")}
-            bits = table.column("bits").combine_chunks()
-            bits = np.asarray(bits.flatten()).view(U64).reshape(len(table), _LANES)
-            new = np.flatnonzero(np.concatenate([[True], *[(col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])]]))
+            bits, long, bands = (matrix(table, c) for c in ("bits", "long", "bands"))
+            new = np.flatnonzero(np.concatenate([[True], (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])]))
             for a, b in zip(new, [*new[1:], len(table)], strict=True):
-                ids, part, block, own = col["id"][a:b], col["part"][a:b], col["block"][a:b], bits[a:b]
+                ids, part, block, key = col["id"][a:b], col["part"][a:b], col["block"][a:b], col["key"][a : a + 1].view(U64)[0]
                 if len(ids) < 2 or (part == part[0]).all():
                     continue
                 left = np.flatnonzero(block == col["i"][a])
                 right = left if col["i"][a] == col["j"][a] else np.flatnonzero(block == col["j"][a])
                 for at in range(0, len(left), 64):
                     rows = left[at : at + 64]
-                    x = own[rows][:, None, :] ^ own[right][None, :, :]
-                    x |= x >> U64(1)
-                    x |= x >> U64(2)
-                    differ = np.bitwise_count(x & nibble).sum(axis=2, dtype=np.int64)
-                    near = (1 - differ / MINIMA / (1 - 2.0**-BITS) >= least) & (part[rows][:, None] != part[right][None, :]) & (ids[rows][:, None] != ids[right][None, :])
+                    near = (_alike(bits[a:b][rows][:, None, :] ^ bits[a:b][right][None, :, :], MINIMA) >= least) & (part[rows][:, None] != part[right][None, :])
+                    near &= (ids[rows][:, None] < ids[right][None, :]) if right is left else (ids[rows][:, None] != ids[right][None, :])
                     r, c = np.nonzero(near)
-                    if len(r):
-                        u, v = ids[rows[r]], ids[right[c]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+                    for k in range(0, len(r), 10_000):
+                        x, y = rows[r[k : k + 10_000]] + a, right[c[k : k + 10_000]] + a
+                        same = bands[x] == bands[y]
+                        first = same.any(axis=1) & (bands[x, same.argmax(axis=1)] == key)
+                        x, y = x[first], y[first]
+                        alike = _alike(long[x] ^ long[y], LONG_MINIMA) >= least_long
+                        u, v = col["id"][x[alike]], col["id"][y[alike]]
+                        if len(u):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
     return pairs
 
@@ -214,14 +247,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     mixed_keys = rest.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).filter("x < y").select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
     rest = rest.select("key", "id", "part").join(mixed_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = rest.join(reps.select("id", "bits"), "id")
+    rest = rest_rows = stored(rest)
+    long = grams.join(rest.select("id").distinct(), "id", "left_semi").mapInArrow(_long, "id long, long array<long>")
+    rest = rest.join(reps.select("id", "bits", "bands").join(long, "id"), "id")
     dealt = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    crossed = dealt.mapInArrow(_across(least), "a long, b long").distinct()
+    crossed = dealt.mapInArrow(_across(percent / 100), "a long, b long").distinct()
     more = _confirmed(crossed, grams, reps, percent, least)
     links = linked.union(more)
     # all rows of a class, and all rows of a doc_id, belong together
     same = full.select("set_key", "doc_id").join(classes, "set_key").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     groups = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")).union(same))
-    released(members, taken, grams, linked, classes, reps)
+    released(members, taken, grams, linked, classes, reps, rest_rows)
     out = signed.select("doc_id", "n_shingles").join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
