@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, chat_template, minhash, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,60 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, 512, token_counts.added_tokens(path))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_template.digests(chat_template.format_conversations(turns.unionByName(extra)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_chat_format": op7_chat_format,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda w: w) AS w FROM documents),
+grams AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS id, a AS r FROM both UNION SELECT reach.id, both.b FROM reach JOIN both ON both.a = reach.r),
+least AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(least.c, d.doc_id) AS component_id, d.doc_id = coalesce(least.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.id = d.doc_id
+""",
+    "op7_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(regexp_replace(regexp_replace(text, '(<)(\*)(/?s>)', '\1\\2\3', 'g'), '(\[)(\*)(/?INST\]|/?ROLE\]|/TURN\])', '\1\\2\3', 'g')) AS n,
+    length(regexp_replace(regexp_replace(role, '(<)(\*)(/?s>)', '\1\\2\3', 'g'), '(\[)(\*)(/?INST\]|/?ROLE\]|/TURN\])', '\1\\2\3', 'g')) AS m FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 23 + m END))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+""",
+}
