@@ -253,11 +253,11 @@ def _covered(data: bytes, spans: list[dict]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _digest(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
-        removed, runs, digests, kept = [], [], [], []
+        removed, runs, digests, sizes = [], [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             data = (text.as_py() or "").encode()
             gone = _covered(data, spans.as_py()) if spans.is_valid else None
@@ -270,26 +270,39 @@ def _digest(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.R
                 runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
                 left = np.frombuffer(data, np.uint8)[~gone].tobytes()
             digests.append(hashlib.sha256(left).hexdigest())
-            kept.append((text.as_py() if left is data else left.decode(errors="ignore")) if keep_text else None)
-        n = pa.array([len(t.encode()) if t else 0 for t in batch.column("text").to_pylist()], pa.int64())
-        cols = [n, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
-        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        if keep_text:
-            cols.append(pa.array(kept, pa.string()))
-            names.append("kept_text")
-        rest = [c for c in batch.schema.names if c not in ("text", "spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *cols], [*rest, *names])
+            sizes.append(len(data))
+        cols = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) for each row of docs(doc_id, text); other columns are not read.
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs(doc_id, text); other columns are not read.
 
     A byte goes if a LENGTH-byte string that covers it also starts anywhere else, in the same text or another; overlaps count, and strings are judged on
-    the input. Every occurrence goes. Null and short texts lose nothing (null: no bytes). kept_text leaves out code points that lost some of their bytes.
-    Rows that repeat a doc_id are documents of their own, and so are rows without a doc_id. An empty table gives no rows.
+    the input. Every occurrence goes. Null and short texts lose nothing (null: no bytes). Rows that repeat a doc_id are documents of their own, and so are
+    rows without a doc_id. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = repeated_windows(docs)
     both = docs.join(spans.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return both.mapInArrow(lambda batches: _digest(batches, keep_text), schema)
+    return both.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """The rows of docs with all their columns; text has lost what without_repeats() removes, and code points that lost some of their bytes. Null texts stay null."""
+    spans = repeated_windows(docs).withColumnRenamed("doc_id", "own doc_id").withColumnRenamed("spans", "own spans")
+    both = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("own doc_id")), "left").drop("own doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, spans_ in enumerate(batch.column("own spans")):
+                if texts[i] and spans_.is_valid:
+                    data = texts[i].encode()
+                    gone = _covered(data, spans_.as_py())
+                    if gone.any():
+                        texts[i] = np.frombuffer(data, np.uint8)[~gone].tobytes().decode(errors="ignore")
+            cols = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in batch.schema.names if c != "own spans"]
+            yield pa.RecordBatch.from_arrays(cols, [c for c in batch.schema.names if c != "own spans"])
+
+    return both.mapInArrow(run, docs.schema)

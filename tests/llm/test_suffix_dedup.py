@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pagewright.llm.suffix_dedup import LENGTH, multikey_quicksort, sliding_least, without_repeats
+from pagewright.llm.suffix_dedup import LENGTH, cut_texts, multikey_quicksort, sliding_least, without_repeats
 
 
 def brute(rows):
@@ -61,11 +61,12 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
-def test_kept_text_has_whole_code_points(spark):
+def test_cut_texts_have_whole_code_points(spark):
     both = "é" * 250
-    df = spark.createDataFrame([(1, "aaa" + both), (2, both + "bbb"), (3, "ok")], "doc_id long, text string")
-    got = {r.doc_id: r.kept_text for r in without_repeats(df, keep_text=True).collect()}
-    assert got == {1: "aaa", 2: "bbb", 3: "ok"}
+    df = spark.createDataFrame([(1, "aaa" + both, 7), (2, both + "bbb", None), (3, "ok", 1), (4, None, 2)], "doc_id int, text string, spans int")
+    out = cut_texts(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted(map(tuple, out.collect())) == [(1, "aaa", 7), (2, "bbb", None), (3, "ok", 1), (4, None, 2)]
 
 
 def test_parts():
