@@ -34,7 +34,7 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: cuts the lineage and survives lost executors. The table goes when the driver ends, or with released()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pagewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagewright_path = path
     atexit.register(_delete, spark, path)

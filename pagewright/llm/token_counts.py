@@ -25,6 +25,8 @@ from .common import stored
 
 #: Bytes of text that make a block (it ends with the document that reaches them).
 BLOCK_BYTES = 32 << 20
+#: Counts that a task gathers before it sends them to their blocks.
+SENT_ROWS = 2_000_000
 _FREQUENCIES = "block long, doc_ids array<long>, n_bytes array<long>, packed binary, vocabulary array<string>"
 
 
@@ -48,6 +50,35 @@ def pre_tokens(text: str, pattern: regex.Pattern, special: regex.Pattern | None)
     return out + pattern.findall(text[at:])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane, which compresses well if most are small."""
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).reshape(-1).astype(np.int64)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the first one and differences."""
+    return np.diff(values, prepend=0)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    head = np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(map(_planes, arrays)))
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    k = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes, at, out = np.frombuffer(raw, np.int64, k, 8).tolist(), 8 + 8 * k, []
+    for n in sizes:
+        out.append(_from_planes(raw, at, n))
+        at += 4 * n
+    return out
+
+
 class _Block:
     def __init__(self):
         self.doc_ids, self.n_bytes, self.sizes = [], [], []
@@ -61,16 +92,14 @@ class _Block:
         self.n_bytes.append(n := len(text.encode()))
         self.bytes += n
         self.sizes.append(len(counts))
-        self.entries.append(np.array([v.setdefault(p, len(v)) for p in counts], np.uint32))
-        self.times.append(np.fromiter(counts.values(), np.uint32, len(counts)))
+        entries = np.array([v.setdefault(p, len(v)) for p in counts], np.int64)
+        order = np.argsort(entries)
+        self.entries.append(_steps(entries[order]))
+        self.times.append(np.fromiter(counts.values(), np.int64, len(counts))[order])
 
     def packed(self) -> bytes:
-        """Document sizes, entries and times. Entries are numbered as they come up, so frequent ones have small numbers; their bytes are stored plane by plane, which compresses well."""
-        entries = np.concatenate(self.entries) if self.entries else np.zeros(0, np.uint32)
-        times = np.concatenate(self.times) if self.times else np.zeros(0, np.uint32)
-        head = np.array([len(self.sizes), len(entries)], np.int64).tobytes() + np.array(self.sizes, np.uint32).tobytes()
-        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (entries, times)]
-        return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
+        """Numbers of distinct pre-tokens of the documents, their places in the vocabulary as steps, and how often they occur. Places follow first occurrence, so frequent pre-tokens have small ones."""
+        return _pack(np.array(self.sizes), np.concatenate(self.entries), np.concatenate(self.times))
 
     def row(self) -> pa.RecordBatch:
         key = uuid.uuid4().int >> 65
@@ -79,12 +108,11 @@ class _Block:
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    docs, n = np.frombuffer(raw, np.int64, 2)
-    sizes = np.frombuffer(raw, np.uint32, docs, 16)
-    planes = np.frombuffer(raw, np.uint8, 8 * n, 16 + 4 * docs).reshape(2, 4, n)
-    entries, times = (np.ascontiguousarray(p.T).view(np.uint32).reshape(-1) for p in planes)
-    return sizes, entries, times
+    """Sizes of the documents, and entries and times of all of them in a row."""
+    sizes, steps, times = _unpack(data)
+    sums = np.concatenate([[0], np.cumsum(steps)])
+    starts = np.cumsum(sizes) - sizes
+    return sizes, sums[1:] - np.repeat(sums[starts], sizes), times
 
 
 def _split(pattern: str, specials: list[str]):
@@ -109,6 +137,16 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         last, n = None, 0  # rows are sorted: a pre-token's rows stand together, also over the end of a batch
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            block, entry, pieces = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            order = np.lexsort((entry, block))
+            block, entry, pieces = block[order], entry[order], pieces[order]
+            new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            rows = [_pack(_steps(entry[a:b]), pieces[a:b]) for a, b in zip(new, [*new[1:], len(block)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(rows, pa.binary())], ["block", "counts"])
+
         for batch in batches:
             pieces = batch.column("piece").to_pylist()
             new = [p for p, before in zip(pieces, [last, *pieces[:-1]], strict=True) if p != before]
@@ -116,12 +154,17 @@ def _count(path: str):
             for at in range(0, len(new), 2000):
                 counts += [len(e.ids) for e in tokenizer.encode_batch(new[at : at + 2000], add_special_tokens=False)]
             counts = iter(counts)
-            out = np.empty(len(pieces), np.int32)
+            out = np.empty(len(pieces), np.int64)
             for i, p in enumerate(pieces):
                 if p != last:
                     last, n = p, next(counts)
                 out[i] = n
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("entry"), pa.array(out)], ["block", "entry", "n"])
+            waiting.append((batch.column("block").to_numpy(), batch.column("entry").to_numpy(), out))
+            if sum(len(w[0]) for w in waiting) > SENT_ROWS:
+                yield packed()
+                waiting.clear()
+        if waiting:
+            yield packed()
 
     return run
 
@@ -131,8 +174,9 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, n_bytes, packed, counts in zip(*(batch.column(c) for c in ("doc_ids", "n_bytes", "packed", "counts")), strict=True):
             sizes, entries, times = _unpacked(packed.as_py())
             of = np.zeros(int(entries.max()) + 1 if len(entries) else 0, np.int64)
-            if counts.is_valid:
-                of[counts.values.field("entry").to_numpy()] = counts.values.field("n").to_numpy()
+            for c in counts.as_py() or ():
+                steps, pieces = _unpack(c)
+                of[np.cumsum(steps)] = pieces
             total = np.concatenate([[0], np.cumsum(of[entries] * times)])
             ends = np.cumsum(sizes, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([doc_ids.values, n_bytes.values, pa.array(total[ends] - total[ends - sizes])], ["doc_id", "n_bytes", "n_tokens"])
@@ -148,8 +192,8 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, spe
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = stored(docs.mapInArrow(_split(pattern, specials or []), _FREQUENCIES))
     entries = blocks.select("block", F.posexplode("vocabulary").alias("entry", "piece"))
-    counted = entries.repartition("piece").sortWithinPartitions("piece").mapInArrow(_count(path), "block long, entry int, n int")
-    back = counted.groupBy("block").agg(F.collect_list(F.struct("entry", "n")).alias("counts"))
+    counted = entries.repartition("piece").sortWithinPartitions("piece").mapInArrow(_count(path), "block long, counts binary")
+    back = counted.groupBy("block").agg(F.collect_list("counts").alias("counts"))
     sums = blocks.drop("vocabulary").join(back, "block", "left").mapInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
 
