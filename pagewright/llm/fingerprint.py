@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty. Rows may repeat, and doc_id may repeat or be null. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _typed(docs)
     signed, buckets = _buckets(docs)
     return _confirmed(docs, signed, buckets).select("doc_id", "digest", "fingerprint")
 
@@ -65,14 +65,26 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, first.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.sha").alias("first_sha"), "n")
 
 
+def _typed(docs: DataFrame) -> DataFrame:
+    """doc_id and text; columns of the right type stay as they are, since an alias would keep exchanges of them from being told the same."""
+    kinds = dict(docs.dtypes)
+    return docs.select(*(c if kinds[c] == k else F.col(c).cast(k).alias(c) for c, k in (("doc_id", "bigint"), ("text", "string"))))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """The rows with an id."""
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+
+
 def _confirmed(docs: DataFrame, signed: DataFrame, buckets: DataFrame) -> DataFrame:
     """signed with fingerprint: members of buckets with several documents are compared with the first one's text."""
     several = buckets.filter("n > 1 AND first_id IS NOT NULL").select("digest", "first_id")
     marked = signed.join(several, "digest").filter("doc_id <> first_id").select("doc_id", "digest", "first_id", "sha").distinct()
-    known = docs.filter("doc_id IS NOT NULL")
-    own = known.join(marked, "doc_id").withColumn("canon", canonical(F.col("text"))).filter(digest(F.col("canon")) == F.col("digest"))
-    first = known.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
-    pairs = own.join(first, "first_id").withColumn("same", F.col("canon") == canonical(F.col("first_text")))
+    # texts stand on the same side of each join in the same form, so all joins read one exchange of them
+    known = _texts(docs)
+    own = known.join(marked, "doc_id").withColumn("canon", canonical(F.col("text"))).filter(digest(F.col("canon")) == F.col("digest")).select("doc_id", "sha", "first_id", "canon").alias("own")
+    first = _texts(docs).alias("first")
+    pairs = first.join(own, F.col("first.doc_id") == F.col("own.first_id")).select("own.doc_id", "own.sha", (F.col("own.canon") == canonical(F.col("first.text"))).alias("same"))
     differ = pairs.groupBy("doc_id", "sha").agg(F.max("same").alias("same")).filter("NOT same")
     out = signed.join(buckets.select("digest", "first_sha"), "digest")
     out = out.join(differ.withColumnRenamed("same", "known_same"), ["doc_id", "sha"], "left")
@@ -87,18 +99,19 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     repeats, the row with the smallest hash stands for it. Rows without a doc_id come after no other and nothing follows them: what they lose is replaced
     by nothing, and near_next is 0. Null texts count as empty. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _typed(docs)
     signed, buckets = _buckets(docs)
-    known = docs.filter("doc_id IS NOT NULL")
     ids = signed.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("digest", "sha")).alias("first"), F.max(F.expr("n_chars div 3")).alias("part"))
     ids = stored(ids)
     after = stored(followers(ids.select("id", "first")).join(ids.select("id", "part"), "id"))
     # only the beginning of the next text moves on
-    lead = known.join(after.select("id", F.col("next_id").alias("doc_id"), "next_first", "part"), "doc_id")
-    lead = lead.filter((F.col("part") > 0) & (digest(canonical(F.col("text"))) == F.col("next_first.digest"))) if _repeats(ids, signed) else lead.filter("part > 0")
-    lead = lead.select("id", F.expr("substring(coalesce(text, ''), 1, cast(part AS int))").alias("head"))
-    lead = lead.groupBy("id").agg(F.first("head").alias("head"))
-    edited = docs.join(lead.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    lead = _texts(docs).alias("d").join(after.filter("part > 0").alias("a"), F.col("d.doc_id") == F.col("a.next_id"))
+    if _repeats(ids, signed):
+        lead = lead.filter(digest(canonical(F.col("d.text"))) == F.col("a.next_first.digest"))
+    lead = lead.select("a.id", F.expr("substring(coalesce(d.text, ''), 1, cast(a.part AS int))").alias("head"))
+    lead = lead.groupBy("id").agg(F.first("head").alias("head")).alias("l")
+    edited = _texts(docs).alias("d").join(lead, F.col("d.doc_id") == F.col("l.id"), "left").select("d.doc_id", "d.text", "l.head")
+    edited = edited.unionByName(docs.filter("doc_id IS NULL").withColumn("head", F.lit("")))
     text = F.coalesce("text", F.lit(""))
     edited = edited.select("doc_id", text.alias("text"), F.concat(F.expr("substring(coalesce(text, ''), 1, length(coalesce(text, '')) - cast(length(coalesce(text, '')) div 3 AS int))"), F.expr("substring(coalesce(head, ''), 1, cast(length(coalesce(text, '')) div 3 AS int))")).alias("edited"))
     edited = edited.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
