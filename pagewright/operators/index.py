@@ -6,6 +6,7 @@ documents that go in: restrict pages and sections first to search a part of the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -25,7 +26,29 @@ class Index:
     stats: DataFrame
 
     def persist(self) -> Index:
-        return Index(*(x.persist() for x in (self.units, self.postings, self.terms, self.stats)))
+        """Keeps the tables in memory and on disk; Spark drops and rebuilds blocks as it needs to."""
+        for x in (self.units, self.postings, self.terms, self.stats):
+            x.persist()
+        return self
+
+    def unpersist(self) -> None:
+        for x in (self.units, self.postings, self.terms, self.stats):
+            x.unpersist()
+
+
+class IndexCache:
+    """The latest few indices by signature; the oldest goes first."""
+
+    def __init__(self, size: int = 4):
+        self.size = size
+        self.kept: dict[str, Index] = {}
+
+    def get_or_build(self, signature: str, make: Callable[[], Index]) -> Index:
+        if signature not in self.kept:
+            while len(self.kept) >= self.size:
+                self.kept.pop(next(iter(self.kept))).unpersist()
+            self.kept[signature] = make().persist()
+        return self.kept[signature]
 
 
 def page_units(pages: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def using(parts: list[str], then: str, **fill: str) -> str:
     return "WITH " + ",\n".join(PARTS[p].replace("{tokens}", fill.get("tokens", "qtok")) for p in parts) + "\n" + then
 
 
-RANKED = "SELECT query_id, unit_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rank FROM {}) WHERE rank <= 10"
+RANKED = "SELECT query_id, unit_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rank FROM {}) WHERE rank <= 10"
 PROFILE = [*INDEX, "queries", "qtok", "cands", "profile"]
 OFF = [*INDEX, "off", "qtok", "cands", "profile"]
 HITS = [*INDEX, "queries", "qtok", "raw"]
@@ -147,10 +147,12 @@ SQL: dict[str, str] = {
 FROM queries_ q LEFT JOIN floors USING (query_id) LEFT JOIN (SELECT query_id, max(mass) AS best FROM matched GROUP BY query_id) USING (query_id) WHERE floor IS NULL OR best IS NULL OR best < floor - abs(floor) * 2.220446049250313e-16 * (n + 1)"""),
     "absent_terms": using(OFF, "SELECT query_id, term FROM profile WHERE df = 0"),
     "structural_score": using(["off", "qtok"], f"SELECT query_id, title, round(least(1.0, 0.7 * len(list_intersect(t, w)) / len(t) + bonus), 6) AS score FROM (SELECT query_id, list(DISTINCT token) AS t FROM qtok GROUP BY query_id), (SELECT title, bonus, {terms('title')} AS w FROM (VALUES ('Document Content', 0.3), ('Página 1', 0.0)) AS v(title, bonus))"),
-    "fused_ranking_given_vectors": "",
-    "vector_cosine_topk": "SELECT query_id, vec_id, round(similarity, 5) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, greatest(0.0, least(1.0, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12))) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
-    "evidence_pack": packed("SELECT query_id, rank, doc_id, estimated_tokens, running_tokens, truncated, md5(text) AS text_md5 FROM packed"),
-    "evidence_citations": packed("SELECT query_id, rank, citation FROM packed"),
+    "fused_ranking_given_vectors": using([*PROFILE, "floors", "matched", "admitted"], f""", fused AS (SELECT query_id, unit_id, 0.5 * greatest(0, least(1, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-5))) + 0.3 * (((length(unit_id) * 37 + query_id * 11) % 1000) / 1000) + 0.2 * structural AS final_score, structural FROM (
+  SELECT a.*, least(1.0, 0.7 * len(list_intersect(t, {terms('title')})) / len(t) + CASE WHEN section_id IS NOT NULL THEN 0.3 ELSE 0 END) AS structural FROM admitted a JOIN units USING (unit_id) JOIN (SELECT query_id, list(DISTINCT term) AS t FROM profile GROUP BY query_id) USING (query_id)))
+SELECT query_id, unit_id, rank::INT AS rank, round(final_score, 6) AS final_score, round(structural, 6) AS structural_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, unit_id) AS rank FROM fused) WHERE rank <= 10""").replace("\n, fused", ",\nfused"),
+    "vector_cosine_topk": "SELECT query_id, vec_id, round(similarity, 5) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, greatest(0.0, least(1.0, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12))) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
+    "evidence_pack": packed("SELECT query_id, rank::INT AS rank, doc_id, estimated_tokens, running_tokens, truncated, md5(text) AS text_md5 FROM packed"),
+    "evidence_citations": packed("SELECT query_id, rank::INT AS rank, citation FROM packed"),
     "evidence_markdown": packed("").rstrip() + ",\n" + MARKDOWN + "\nSELECT query_id, md5(markdown) AS markdown_md5 FROM shown",
     "read_pages": using(["pages"], """SELECT doc_id, page_number, md5(head || CASE WHEN used > 1500 THEN substr(text, 1, greatest(0, 1500 - (used - size) - strlen(head))::BIGINT) ELSE text END) AS text_md5, used > 1500 AS truncated FROM (
 SELECT *, sum((used > 1500)::INT) OVER (PARTITION BY doc_id ORDER BY page_number) AS n_over FROM (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY page_number) AS used FROM (SELECT *, '--- Página ' || page_number || ' ---' || chr(10) AS head, strlen('--- Página ' || page_number || ' ---' || chr(10)) + strlen(text) AS size FROM pages_ WHERE page_number BETWEEN 2 AND 5))) WHERE n_over <= 1"""),
@@ -195,4 +197,3 @@ each AS (SELECT k.*, coalesce((SELECT bool_or(page BETWEEN 2 AND 4) FROM hits h
 SELECT count(*) FILTER (answerable) AS answerable, count(*) FILTER (answerable AND found) AS found, count(*) FILTER (answerable AND found AND paraphrased) AS found_paraphrased, count(*) FILTER (answerable AND NOT got) AS wrongly_refused, count(*) FILTER (NOT answerable) AS unanswerable, count(*) FILTER (NOT answerable AND NOT got) AS rightly_refused FROM each""").replace("\n, ranked", ",\nranked"),
     "label_quality": "SELECT count(*) FILTER (s >= 1 AND quality = 1) AS tp, count(*) FILTER (s >= 1 AND quality <> 1) AS fp, count(*) FILTER (s < 1 AND quality = 1) AS fn, count(*) FILTER (s < 1 AND quality <> 1) AS tn FROM (SELECT quality, length(text) - length(replace(text, '|', '')) AS s FROM documents JOIN labels USING (doc_id))",
 }
-del SQL["fused_ranking_given_vectors"]
