@@ -9,6 +9,7 @@ its place is marked, so no place fails twice: the work is linear in the piece. T
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces and neighbours that a worker remembers before it forgets all of them.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 
 
 class Encoder:
@@ -189,7 +190,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids of encode() and the bytes that decode() makes of them again, as digests."""
-    both = decode(encode(docs, path, pattern), path)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids that encode() gives and the bytes that decode() makes of them again, as digests.
+
+    Both run over a text in one go, so ids don't travel. Rows are as for encode()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, pattern)
+        tokens, names = e.bytes, [str(i) for i in range(len(e.bytes))]
+        for batch in batches:
+            sizes, ids_digests, decoded = [], [], []
+            for text in batch.column(1):
+                ids = e.encode(text.as_py()) if text.is_valid else []
+                sizes.append(len(ids))
+                ids_digests.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([tokens[i] for i in ids])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

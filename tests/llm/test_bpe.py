@@ -59,6 +59,8 @@ def test_round_trip_and_digests(spark, library):
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
+    back = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH).collect()
+    assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for _, t in rows) and sum(len(r.ids) for r in back) == sum(w[1] for w in want)
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
     odd = spark.createDataFrame([(None,), ([],), ([99999999, -1],)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(odd, PATH).collect()] == [None, b"", b""]
