@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 _temporary: list[tempfile.TemporaryDirectory] = []

@@ -27,7 +27,7 @@ LENGTH = 64
 PER_LANGUAGE = 250
 #: Words that are in a language's lexicon at most.
 LEXICON = 300
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

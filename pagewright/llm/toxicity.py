@@ -11,6 +11,7 @@ Labels that only say toxic or not are graded: 0 for others, 1 for toxic document
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 from .sampling import sample
 
 #: Labelled documents of each grade that a model is fitted on, about.
-PER_CLASS = 3000
+PER_CLASS = 2000
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
 #: Standard errors of the log odds that a selected feature is away from none, and features at most.
 CLEAR = 4.0
 SELECTED = 3000
-REMEMBERED = 300_000
+LEAST_DOCUMENTS = 5
+REMEMBERED = 80_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -74,16 +76,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(value - self.thresholds[None, :], -40, 40)))
 
 
-def _select(texts: list[Counter], bad: np.ndarray) -> list[tuple[str, float]]:
-    """The names whose document frequency tells the two sides apart most clearly, with their log odds."""
+def _select(texts: list[str], bad: np.ndarray) -> list[tuple[str, float]]:
+    """The names whose document frequency tells the two sides apart most clearly, with their log odds.
+
+    A first pass counts documents by a hash of the name, so that only names which can be in LEAST_DOCUMENTS of them are counted by themselves."""
+    rough = np.zeros(1 << 22, np.uint32)
+    place = lambda x: zlib.crc32(x.encode()) & ((1 << 22) - 1)
+    for t in texts:
+        rough[np.unique([place(x) for w in counts(t) for x in names(w)] or [0])] += 1
     frequency = [Counter(), Counter()]
-    for c, y in zip(texts, bad, strict=True):
-        frequency[int(y)].update({x for w in c for x in names(w)})
+    for t, y in zip(texts, bad, strict=True):
+        frequency[int(y)].update({x for w in counts(t) for x in names(w) if rough[place(x)] >= LEAST_DOCUMENTS})
     n0, n1 = (~bad).sum() + 1, bad.sum() + 1
     found = []
     for x in set(frequency[0]) | set(frequency[1]):
         a, b = frequency[1][x] + 0.5, frequency[0][x] + 0.5
-        if frequency[1][x] + frequency[0][x] < 5:
+        if frequency[1][x] + frequency[0][x] < LEAST_DOCUMENTS:
             continue
         odds = np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))
         z = odds / np.sqrt(1 / a + 1 / b + 1 / (n1 - a + 1) + 1 / (n0 - b + 1))
@@ -94,7 +102,7 @@ def _select(texts: list[Counter], bad: np.ndarray) -> list[tuple[str, float]]:
 
 def fit(rows: list[tuple[str, int]], steps: int = 1200) -> Model:
     """A model from (text, label) rows, with at least two labels."""
-    texts = [counts(t) for t, _ in rows]
+    texts = [t for t, _ in rows]
     label = np.array([y for _, y in rows])
     chosen = _select(texts, label > 0)
     places = {x: i for i, (x, _) in enumerate(chosen)}
