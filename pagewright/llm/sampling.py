@@ -24,3 +24,22 @@ def sample(rows: DataFrame, label: str, per_class: int, spare: float = 1.2) -> l
     place = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))
     taken = rows.filter(place < share[F.col(label)] * (1 << 30)).orderBy(place, "text").limit(int(1.3 * per_class * len(counts)) + 100)
     return [(r["text"], r[label]) for r in taken.collect()]
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, spare: float = 1.2) -> list:
+    """The same for labels that stand in a table of their own, labels(doc_id, label): rows are chosen there, by a hash of doc_id.
+
+    The chosen ids (at most 1.3 * per_class * CLASSES + 100) are broadcast to the documents, so no text is shuffled. A doc_id with several labels or texts
+    can give several rows.
+    """
+    labels = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), label)
+    counts = labels.groupBy(label).count().orderBy(F.desc("count"), label).limit(CLASSES).collect()
+    if not counts:
+        return []
+    share = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, spare * per_class / r[1])))))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
+    chosen = labels.filter(place < share[F.col(label)] * (1 << 30)).orderBy(place, "doc_id", label).limit(int(1.3 * per_class * len(counts)) + 100).collect()
+    ids = docs.sparkSession.createDataFrame(chosen, labels.schema)
+    rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    taken = rows.join(F.broadcast(ids), "doc_id").select("text", label).collect()
+    return sorted((r["text"], r[label]) for r in taken)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import sample
+from .sampling import sample_labelled
 
 #: Labelled documents of each grade that a model is fitted on, about.
 PER_CLASS = 2000
@@ -147,8 +147,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 1200) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """A model from labelled documents; labels has doc_id and toxic (0: not toxic). None if fewer than two labels occur."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic >= 0")
-    rows = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(own, "doc_id"), "toxic", per_class)
+    rows = sample_labelled(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic >= 0"), "toxic", per_class)
     return fit(rows) if len({y for _, y in rows}) > 1 else None
 
 
