@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ByteHashes, text_pieces
-from .sampling import sample
+from .sampling import sample_labelled
 
 PASSAGE_WORDS = 64
 #: Labelled documents of each class that a model is fitted on, about.
@@ -169,9 +169,8 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """A model from the labelled documents that aren't held out (null without any). labels has doc_id and quality; a doc_id with several labels counts with each."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")
-    rows = held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).filter("NOT held_out").join(own, "doc_id")
-    rows = sample(rows, "quality", per_class)
+    own = held_out(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")).filter("NOT held_out")
+    rows = sample_labelled(docs, own, "quality", per_class)
     if not rows:
         return None
     x, begins = _bags([t for t, _ in rows])
