@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +84,6 @@ def title_pages(sections: DataFrame, pages: DataFrame) -> DataFrame:
 def reconcile(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """sections(doc_id, ord, title, page_start, ...) with the pages of those that claim page 1 or none looked up by title, from the last page reached on,
     and with a preview of 160 characters. Which page was reached depends on all earlier sections, so the sections of a document are walked in order."""
-    import pandas as pd
-
     texts = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
     rows = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "page_start"))).alias("s")).join(texts, "doc_id")
 

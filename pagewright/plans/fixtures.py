@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 OFF_TOPIC = "(900001, 'zirconium paella kubernetes ingress'), (900002, 'memoization of the sourdough macros'), (900003, 'the and of'), (900004, 'document content of the réplica'), (900005, 'azafrán xylophone thththth')"
 LINES = """(1, 'INTENT'), (2, 'Define the thing.'), (3, '1. First part'), (4, '1.2. Deeper'), (5, '### Third level'), (6, '# Top'), (7, '## Second'), (8, 'Chapter 4 begins here'),
@@ -50,3 +52,34 @@ def manual(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         spark.createDataFrame(sections, "doc_id string, ord int, section_id string, title string, level int, page_start int, page_end int, parent_id string"),
         spark.createDataFrame(pages, "doc_id string, page_number int, text string"),
     )
+
+
+def write_pdf(pages: list[str]) -> bytes:
+    """A plain PDF file with lines of text in Latin-1, and an outline entry for each page."""
+    objects: list[bytes] = [b"", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", b""]
+    kids, entries = [], []
+    for text in pages:
+        shown = [line[i : i + 90] for line in text.split("\n") for i in range(0, max(1, len(line)), 90)]
+        quote = lambda t: t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+        body = b"BT /F1 8 Tf 10 TL 40 780 Td " + b" ".join(b"(" + quote(t) + b") Tj T*" for t in shown) + b" ET"
+        objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))
+        kids.append(len(objects))
+    for n, page in enumerate(kids):
+        after = b" /Next %d 0 R" % (len(objects) + 2) if n + 1 < len(kids) else b""
+        objects.append(b"<< /Title (Page %d) /Parent 4 0 R /Dest [%d 0 R /Fit]%s >>" % (n + 1, page, after))
+        entries.append(len(objects))
+    objects[0] = b"<< /Type /Catalog /Pages 2 0 R /Outlines 4 0 R >>"
+    objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
+    objects[3] = b"<< /Type /Outlines /First %d 0 R /Last %d 0 R >>" % (entries[0], entries[-1]) if entries else b"<< /Type /Outlines >>"
+    out = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in enumerate(objects, 1))
+    return out + b"trailer << /Root 1 0 R /Size %d >>\n%%%%EOF\n" % (len(objects) + 1)
+
+
+def pdf_bytes(pages: str):
+    """A column of PDF files from an array of (page_number, text)."""
+    @F.pandas_udf("binary")
+    def make(column: pd.Series) -> pd.Series:
+        return column.map(lambda rows: write_pdf([r["text"] for r in rows]))
+
+    return make(pages)

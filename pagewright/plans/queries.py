@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import context, evaluate, extract, index, layout, patterns, retrieve, structure, tables
-from ..sources import store
+from ..operators import context, evaluate, extract, index, layout, patterns, render, retrieve, structure, tables
+from ..sources import pdf, store
 from ..sources import tables as S
 from . import fixtures as X
 
@@ -494,3 +494,19 @@ def labelled_eval(spark, d):
 def label_quality(spark, d):
     rows = docs(spark, d).join(S.table(spark, d, "labels"), "doc_id").select("quality", (F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))).cast("double").alias("score"))
     return evaluate.threshold_quality(rows, "score", "quality", 1.0)
+
+
+# --- rendering and PDF files ------------------------------------------------
+
+
+@query
+def render_page_png(spark, d):
+    return render.render_pages(_kinds(spark, d).select("doc_id", "page_number", "text", "kind"), 400)
+
+
+@query
+def pdf_ingest(spark, d):
+    """Conversations written as PDF files, and what is read back from them."""
+    pages = conv(spark, d)[0].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p"))
+    files = pages.select(F.concat(F.lit("conv-"), "doc_id", F.lit(".pdf")).alias("path"), X.pdf_bytes("p").alias("content"))
+    return pdf.parsed(files).select("path", "error", "meta.total_pages", "meta.content_hash", F.transform("pages", lambda p: F.length(p["text"])).alias("page_chars"), F.size("sections").alias("n_sections"))
