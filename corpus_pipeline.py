@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pagewright.llm import bpe, decontaminate, minhash, suffix_dedup, toxicity
 from pagewright.llm.common import stored
 
+#: Bytes of a repeated passage: shorter than fifty words in any of the languages.
+REPEATED_BYTES = 256
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic; the model is fitted on the labelled ones among docs."""
@@ -28,8 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their bytes in strings of 400 bytes that start elsewhere too; n_chars follows the text."""
-    return suffix_dedup.cut_texts(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long"))
+    """All documents, without their bytes in strings of REPEATED_BYTES that start elsewhere too; n_chars follows the text."""
+    return suffix_dedup.cut_texts(docs, REPEATED_BYTES).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

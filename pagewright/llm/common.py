@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,28 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: cuts the lineage and survives lost executors. The table goes when the driver ends, or with released()."""
+    """The rows of df from a Parquet table in the shared folder: cuts the lineage and survives lost executors. The table goes with released(), or else when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pagewright-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagewright_path = path
-    atexit.register(_delete, spark, path)
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
     return out
 
 
 def released(*tables: DataFrame) -> None:
     """Deletes tables made by stored() that nothing reads any more."""
     for t in tables:
-        _delete(t.sparkSession, t._pagewright_path)
+        where, files = _file_system(t.sparkSession, t._pagewright_path)
+        files.delete(where, True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def text_pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

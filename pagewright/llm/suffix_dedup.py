@@ -2,8 +2,8 @@
 
 A string of LENGTH bytes at one place is a window. A byte goes if it lies in a window whose string starts anywhere else too.
 
-1. Each window has an anchor: the place of its smallest GRAM-byte hash (the leftmost, if several). Equal windows have their anchors at equal distances,
-   and about one place in 128 is an anchor. An anchor whose gram occurs once can't lie in a repeated window; these go at once, which leaves the parts of
+1. Each window has an anchor: the place of its smallest hash of a gram (145 bytes of 400; the leftmost, if several). Equal windows have their anchors at equal
+   distances, and about one place in 128 is an anchor. An anchor whose gram occurs once can't lie in a repeated window; these go at once, which leaves the parts of
    the corpus that are repeated or nearly so.
 2. The windows of one anchor are neighbours and together a span. Spans with equal contents are counted as one; a span that occurs twice is repeated
    from end to end.
@@ -18,6 +18,7 @@ Nothing depends on how often a string occurs: counts are pre-aggregated, and a c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,34 @@ from pyspark.sql import functions as F
 from .common import U64, ByteHashes, mixed, released, stored, text_pieces
 
 LENGTH = 400
-#: Windows to a block; the widest distance between a window's start and its anchor is a multiple of it less one.
+#: Windows to a block.
 BLOCK = 32
-REACH = 256
-GRAM = LENGTH - REACH + 1
-_CORE = LENGTH - BLOCK + 1
 _BESIDE = BLOCK - 1
 
 
+@dataclass(frozen=True)
+class Shape:
+    """The bytes of a window and what follows from them: an anchor lies less than reach bytes behind its window's start."""
+
+    length: int = LENGTH
+
+    def __post_init__(self):
+        if self.length < 160:
+            raise ValueError("windows have at least 160 bytes")
+
+    @property
+    def reach(self) -> int:
+        return 256 if self.length >= 384 else 128
+
+    @property
+    def gram(self) -> int:
+        return self.length - self.reach + 1
+
+    @property
+    def core(self) -> int:
+        return self.length - BLOCK + 1
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of width values."""
     n = len(values)
@@ -46,19 +67,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], back[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """(text, anchor, first window, last window, hash of the gram) for each anchor of some texts; places count from the start of data."""
     n = len(data)
     nothing = np.zeros(0, np.int64)
-    if n < LENGTH:
+    if n < shape.length:
         return nothing, nothing, nothing, nothing, nothing
-    grams = mixed(ByteHashes(data).of(slice(0, n - GRAM + 1), slice(GRAM, n + 1)))
+    grams = mixed(ByteHashes(data).of(slice(0, n - shape.gram + 1), slice(shape.gram, n + 1)))
     low = U64(31)  # bits for the place; the same for all pieces, as ties in the others must fall alike
     place = np.arange(len(grams), dtype=U64)
-    least = sliding_least((grams >> low << low) | place, REACH)
+    least = sliding_least((grams >> low << low) | place, shape.reach)
     anchor = (least & ((U64(1) << low) - U64(1))).astype(np.int64)
     text = np.searchsorted(offsets, np.arange(len(anchor)), side="right") - 1
-    start = np.flatnonzero(offsets[text + 1] >= np.arange(len(anchor)) + LENGTH)
+    start = np.flatnonzero(offsets[text + 1] >= np.arange(len(anchor)) + shape.length)
     if not len(start):
         return nothing, nothing, nothing, nothing, nothing
     anchor, text = anchor[start], text[start]
@@ -67,32 +88,38 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[new], anchor[new], start[new], start[last], grams[anchor[new]].view(np.int64)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """place packs the first window's start, the anchor's distance from it and the number of further windows."""
-    for batch in batches:
-        for a, b, data, offsets in text_pieces(batch.column(1)):
-            text, anchor, first, last, gram = anchors(data, offsets)
-            if not len(text):
-                continue
-            view = memoryview(np.ascontiguousarray(data))
-            span = [xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
-            place = ((first - offsets[text]) << 16) | ((anchor - first) << 8) | (last - first)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.array(span, U64).view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(text)), pa.array(place)], ["gram", "span", "doc_id", "place"])
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the spans of a text, with the anchor's distance from the first window; spans that aren't this text's own (a doc_id may repeat) go."""
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-            data = (text.as_py() or "").encode()
-            for s in spans.as_py():
-                start, distance, more = s["place"] >> 16, s["place"] >> 8 & 255, s["place"] & 255
-                bytes_ = data[start : start + more + LENGTH]
-                if len(bytes_) == more + LENGTH and xxhash.xxh3_64_intdigest(bytes_) == s["span"] & 0xFFFFFFFFFFFFFFFF:
-                    for column, v in zip(out, (s["gram"], s["span"], distance, bytes_), strict=True):
-                        column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["gram", "span", "distance", "data"])
+def _anchors(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """place packs the first window's start, the anchor's distance from it and the number of further windows."""
+        for batch in batches:
+            for a, b, data, offsets in text_pieces(batch.column(1)):
+                text, anchor, first, last, gram = anchors(data, offsets, shape)
+                if not len(text):
+                    continue
+                view = memoryview(np.ascontiguousarray(data))
+                span = [xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(first.tolist(), (last + shape.length).tolist(), strict=True)]
+                place = ((first - offsets[text]) << 16) | ((anchor - first) << 8) | (last - first)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.array(span, U64).view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(text)), pa.array(place)], ["gram", "span", "doc_id", "place"])
+
+    return run
+
+
+def _spans(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the spans of a text, with the anchor's distance from the first window; spans that aren't this text's own (a doc_id may repeat) go."""
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+                data = (text.as_py() or "").encode()
+                for s in spans.as_py():
+                    start, distance, more = s["place"] >> 16, s["place"] >> 8 & 255, s["place"] & 255
+                    bytes_ = data[start : start + more + shape.length]
+                    if len(bytes_) == more + shape.length and xxhash.xxh3_64_intdigest(bytes_) == s["span"] & 0xFFFFFFFFFFFFFFFF:
+                        for column, v in zip(out, (s["gram"], s["span"], distance, bytes_), strict=True):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["gram", "span", "distance", "data"])
+
+    return run
 
 
 def _blocks(distance: int, windows: int) -> range:
@@ -100,32 +127,38 @@ def _blocks(distance: int, windows: int) -> range:
     return range((distance - windows + 1) // BLOCK, distance // BLOCK + 1)
 
 
-def _core_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for gram, span, distance, data in zip(*(batch.column(c).to_pylist() for c in ("gram", "span", "distance", "data")), strict=True):
-            for k in _blocks(distance, len(data) - LENGTH + 1):
-                start = distance - k * BLOCK  # of the core: the block's latest window
-                for column, v in zip(out, (gram, span, k, xxhash.xxh3_64_intdigest(data[start : start + _CORE]) - (1 << 63)), strict=True):
-                    column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], ["gram", "span", "block", "hash"])
-
-
-def _cut_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block: its core, what stands before and after it (filled up with zeros where the text ends), and the windows of the block that the span has."""
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for gram, span, distance, data, blocks in zip(*(batch.column(c).to_pylist() for c in ("gram", "span", "distance", "data", "blocks")), strict=True):
-            for k in blocks:
-                start = distance - k * BLOCK
-                before = data[max(0, start - _BESIDE) : max(0, start)].rjust(_BESIDE, b"\0")
-                after = data[start + _CORE : start + _CORE + _BESIDE].ljust(_BESIDE, b"\0")
-                least = max(0, distance - (len(data) - LENGTH) - k * BLOCK)
-                most = min(BLOCK - 1, distance - k * BLOCK)
-                for column, v in zip(out, (gram, span, k, least, most, data[start : start + _CORE], before + after), strict=True):
-                    column.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["gram", "span", "block", "least", "most", "core", "beside"])
+def _core_hashes(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for gram, span, distance, data in zip(*(batch.column(c).to_pylist() for c in ("gram", "span", "distance", "data")), strict=True):
+                for k in _blocks(distance, len(data) - shape.length + 1):
+                    start = distance - k * BLOCK  # of the core: the block's latest window
+                    for column, v in zip(out, (gram, span, k, xxhash.xxh3_64_intdigest(data[start : start + shape.core]) - (1 << 63)), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], ["gram", "span", "block", "hash"])
+
+    return run
+
+
+def _cut_cores(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: its core, what stands before and after it (filled up with zeros where the text ends), and the windows of the block that the span has."""
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for gram, span, distance, data, blocks in zip(*(batch.column(c).to_pylist() for c in ("gram", "span", "distance", "data", "blocks")), strict=True):
+                for k in blocks:
+                    start = distance - k * BLOCK
+                    before = data[max(0, start - _BESIDE) : max(0, start)].rjust(_BESIDE, b"\0")
+                    after = data[start + shape.core : start + shape.core + _BESIDE].ljust(_BESIDE, b"\0")
+                    least = max(0, distance - (len(data) - shape.length) - k * BLOCK)
+                    most = min(BLOCK - 1, distance - k * BLOCK)
+                    for column, v in zip(out, (gram, span, k, least, most, data[start : start + shape.core], before + after), strict=True):
+                        column.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["gram", "span", "block", "least", "most", "core", "beside"])
+
+    return run
 
 
 def multikey_quicksort(words: np.ndarray, small: int = 32) -> np.ndarray:
@@ -173,35 +206,38 @@ def _repeated_windows(run: np.ndarray, beside: np.ndarray, least: np.ndarray, mo
 _SORTED = "gram long, span long, block int, bits long, core binary, least int, most int, beside binary"
 
 
-def _sort_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts the suffixes of a range. Rows of its first and last run come out with a digest of their core, to be compared with other ranges."""
-    tables = [b for b in batches if len(b)]
-    if not tables:
-        return
-    table = pa.Table.from_batches(tables)
-    words = _as_words(table.column("core").to_pylist(), _CORE)
-    order = multikey_quicksort(words)
-    ranked = words[order]
-    run = np.concatenate([[0], np.cumsum((ranked[1:] != ranked[:-1]).any(axis=1))])
-    table = table.take(pa.array(order))
-    least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
-    beside = np.frombuffer(b"".join(table.column("beside").to_pylist()), np.uint8).reshape(len(table), 2 * _BESIDE)
-    bits = _repeated_windows(run, beside, least, most)
-    edge = (run == 0) | (run == run[-1])
-    cores = table.column("core").to_pylist()
-    named = pa.array([xxhash.xxh3_128_digest(c) if e else None for c, e in zip(cores, edge, strict=True)], pa.binary())
-    cols = [table.column(c).combine_chunks() for c in ("gram", "span", "block")]
-    out = pa.Table.from_arrays([*cols, pa.array(bits), named, *(table.column(c).combine_chunks() for c in ("least", "most", "beside"))], ["gram", "span", "block", "bits", "core", "least", "most", "beside"])
-    yield from out.to_batches(max_chunksize=10_000)
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def _sort_range(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorts the suffixes of a range. Rows of its first and last run come out with a digest of their core, to be compared with other ranges."""
+        tables = [b for b in batches if len(b)]
+        if not tables:
+            return
+        table = pa.Table.from_batches(tables)
+        words = _as_words(table.column("core").to_pylist(), shape.core)
+        order = multikey_quicksort(words)
+        ranked = words[order]
+        run = np.concatenate([[0], np.cumsum((ranked[1:] != ranked[:-1]).any(axis=1))])
+        table = table.take(pa.array(order))
+        least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
+        beside = np.frombuffer(b"".join(table.column("beside").to_pylist()), np.uint8).reshape(len(table), 2 * _BESIDE)
+        bits = _repeated_windows(run, beside, least, most)
+        edge = (run == 0) | (run == run[-1])
+        cores = table.column("core").to_pylist()
+        named = pa.array([xxhash.xxh3_128_digest(c) if e else None for c, e in zip(cores, edge, strict=True)], pa.binary())
+        cols = [table.column(c).combine_chunks() for c in ("gram", "span", "block")]
+        out = pa.Table.from_arrays([*cols, pa.array(bits), named, *(table.column(c).combine_chunks() for c in ("least", "most", "beside"))], ["gram", "span", "block", "bits", "core", "least", "most", "beside"])
+        yield from out.to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """(doc_id, spans: array of (place, span, bits)) for the texts of docs(doc_id, text) with anchors in repeated strings.
 
     bits has, for each window of the span from the last to the first, whether its string starts elsewhere too (null: all of them).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(docs.mapInArrow(_anchors, "gram long, span long, doc_id long, place long"))
+    found = stored(docs.mapInArrow(_anchors(shape), "gram long, span long, doc_id long, place long"))
     often = found.groupBy("gram").count().filter("count > 1").select("gram")
     shared = stored(found.join(often, "gram", "left_semi"))
     released(found)
@@ -211,15 +247,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     fetch = fetch.groupBy("doc_id").agg(F.collect_list("s").alias("spans"))
     # a row with a null doc_id is a document too
     texts = docs.join(fetch, docs.doc_id.eqNullSafe(fetch.doc_id)).select("text", "spans")
-    cut = stored(texts.mapInArrow(_spans, "gram long, span long, distance int, data binary").dropDuplicates(["gram", "span"]))
-    hashes = stored(cut.mapInArrow(_core_hashes, "gram long, span long, block int, hash long"))
+    cut = stored(texts.mapInArrow(_spans(shape), "gram long, span long, distance int, data binary").dropDuplicates(["gram", "span"]))
+    hashes = stored(cut.mapInArrow(_core_hashes(shape), "gram long, span long, block int, hash long"))
     twice = hashes.groupBy("hash").count().filter("count > 1").select("hash")
     left = hashes.join(twice, "hash", "left_semi").groupBy("gram", "span").agg(F.collect_list("block").alias("blocks"))
-    cores = stored(cut.join(left, ["gram", "span"]).mapInArrow(_cut_cores, "gram long, span long, block int, least int, most int, core binary, beside binary"))
+    cores = stored(cut.join(left, ["gram", "span"]).mapInArrow(_cut_cores(shape), "gram long, span long, block int, least int, most int, core binary, beside binary"))
     released(cut, hashes)
     # the rest of the key only parts equal suffixes
     ranges = cores.repartitionByRange("core", "gram", "span")
-    ranked = stored(ranges.mapInArrow(_sort_range, _SORTED))
+    ranked = stored(ranges.mapInArrow(_sort_range(shape), _SORTED))
     released(cores)
     inside = ranked.filter("core IS NULL AND bits <> 0").select("gram", "span", "block", "bits")
     edges = ranked.filter("core IS NOT NULL").withColumn("d", F.explode(F.sequence("least", "most")))
@@ -233,64 +269,69 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return stored(out)
 
 
-def _covered(data: bytes, spans: list[dict]) -> np.ndarray:
+def _covered(data: bytes, spans: list[dict], shape: Shape) -> np.ndarray:
     """The bytes that lie in repeated windows."""
     change = np.zeros(len(data) + 1, np.int64)
     for s in spans:
         start, distance, more = s["place"] >> 16, s["place"] >> 8 & 255, s["place"] & 255
-        if start + more + LENGTH > len(data) or xxhash.xxh3_64_intdigest(data[start : start + more + LENGTH]) != s["span"] & 0xFFFFFFFFFFFFFFFF:
+        if start + more + shape.length > len(data) or xxhash.xxh3_64_intdigest(data[start : start + more + shape.length]) != s["span"] & 0xFFFFFFFFFFFFFFFF:
             continue  # of another text with this doc_id
         if s["blocks"] is None:
             change[start] += 1
-            change[start + more + LENGTH] -= 1
+            change[start + more + shape.length] -= 1
             continue
         for b in s["blocks"]:
             for d in range(BLOCK):
                 if b["bits"] >> d & 1:
                     at = start + distance - (b["block"] * BLOCK + d)
                     change[at] += 1
-                    change[at + LENGTH] -= 1
+                    change[at + shape.length] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for batch in batches:
-        removed, runs, digests, sizes = [], [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-            data = (text.as_py() or "").encode()
-            gone = _covered(data, spans.as_py()) if spans.is_valid else None
-            if gone is None or not gone.any():
-                removed.append(0)
-                runs.append(0)
-                left = data
-            else:
-                removed.append(int(gone.sum()))
-                runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
-                left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            digests.append(hashlib.sha256(left).hexdigest())
-            sizes.append(len(data))
-        cols = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
+def _digest(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            removed, runs, digests, sizes = [], [], [], []
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+                data = (text.as_py() or "").encode()
+                gone = _covered(data, spans.as_py(), shape) if spans.is_valid else None
+                if gone is None or not gone.any():
+                    removed.append(0)
+                    runs.append(0)
+                    left = data
+                else:
+                    removed.append(int(gone.sum()))
+                    runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
+                    left = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                digests.append(hashlib.sha256(left).hexdigest())
+                sizes.append(len(data))
+            cols = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs(doc_id, text); other columns are not read.
 
-    A byte goes if a LENGTH-byte string that covers it also starts anywhere else, in the same text or another; overlaps count, and strings are judged on
+    A byte goes if a string of length bytes that covers it also starts anywhere else, in the same text or another; overlaps count, and strings are judged on
     the input. Every occurrence goes. Null and short texts lose nothing (null: no bytes). Rows that repeat a doc_id are documents of their own, and so are
     rows without a doc_id. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_windows(docs)
+    shape = Shape(length)
+    spans = repeated_windows(docs, shape)
     both = docs.join(spans.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(_digest(shape), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs with all their columns; text has lost what without_repeats() removes, and code points that lost some of their bytes. Null texts stay null."""
-    spans = repeated_windows(docs).withColumnRenamed("doc_id", "own doc_id").withColumnRenamed("spans", "own spans")
+    shape = Shape(length)
+    spans = repeated_windows(docs, shape).withColumnRenamed("doc_id", "own doc_id").withColumnRenamed("spans", "own spans")
     both = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("own doc_id")), "left").drop("own doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +340,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
             for i, spans_ in enumerate(batch.column("own spans")):
                 if texts[i] and spans_.is_valid:
                     data = texts[i].encode()
-                    gone = _covered(data, spans_.as_py())
+                    gone = _covered(data, spans_.as_py(), shape)
                     if gone.any():
                         texts[i] = np.frombuffer(data, np.uint8)[~gone].tobytes().decode(errors="ignore")
             cols = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in batch.schema.names if c != "own spans"]

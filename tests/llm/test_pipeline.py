@@ -6,7 +6,6 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from test_minhash import brute as near
-from test_suffix_dedup import LENGTH
 
 import corpus_pipeline as cp
 from pagewright.llm import decontaminate, toxicity
@@ -16,15 +15,15 @@ def cut(rows):
     seen = {}
     for _, t in rows:
         b = (t or "").encode()
-        for s in range(len(b) - LENGTH + 1):
-            seen[b[s : s + LENGTH]] = seen.get(b[s : s + LENGTH], 0) + 1
+        for s in range(len(b) - cp.REPEATED_BYTES + 1):
+            seen[b[s : s + cp.REPEATED_BYTES]] = seen.get(b[s : s + cp.REPEATED_BYTES], 0) + 1
     out = []
     for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for s in range(len(b) - LENGTH + 1):
-            if seen[b[s : s + LENGTH]] > 1:
-                gone[s : s + LENGTH] = b"\1" * LENGTH
+        for s in range(len(b) - cp.REPEATED_BYTES + 1):
+            if seen[b[s : s + cp.REPEATED_BYTES]] > 1:
+                gone[s : s + cp.REPEATED_BYTES] = b"\1" * cp.REPEATED_BYTES
         out.append((i, bytes(x for x, g in zip(b, gone, strict=True) if not g).decode(errors="ignore") if t is not None else None))
     return out
 

@@ -8,7 +8,7 @@ import pytest
 from pagewright.llm.suffix_dedup import LENGTH, cut_texts, multikey_quicksort, sliding_least, without_repeats
 
 
-def brute(rows):
+def brute(rows, LENGTH=LENGTH):  # noqa: N803
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[s : s + LENGTH] for _, b in texts for s in range(len(b) - LENGTH + 1))
     out = []
@@ -23,9 +23,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(spark, rows, parts=6):
+def run(spark, rows, parts=6, length=LENGTH):
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string").repartition(parts)
-    return sorted((tuple(r) for r in without_repeats(df).collect()), key=str)
+    return sorted((tuple(r) for r in without_repeats(df, length).collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -49,6 +49,8 @@ def test_against_brute_force(spark, seed):
         rows.append((i, text))
     rows += [(i + 500, t) for i, t in rows[:7]] + [(rows[3][0], rows[3][1])]
     assert run(spark, rows) == brute(rows)
+    if seed == 2:
+        assert run(spark, rows, length=256) == brute(rows, 256)
 
 
 def test_odd_rows(spark):
