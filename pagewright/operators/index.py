@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -31,6 +31,16 @@ class Index:
             x.persist()
         return self
 
+    def save(self, folder: str) -> None:
+        """Writes the tables; postings and terms are sorted by term, so a scan for a few terms skips most row groups, and units by unit_id."""
+        for name, key in (("units", "unit_id"), ("postings", "term"), ("terms", "term")):
+            getattr(self, name).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
+        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Index:
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("units", "postings", "terms", "stats")))
+
     def unpersist(self) -> None:
         for x in (self.units, self.postings, self.terms, self.stats):
             x.unpersist()

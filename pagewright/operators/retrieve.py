@@ -127,12 +127,12 @@ def structural(query_terms: Column, title: Column, section_id: Column) -> Column
     return F.least(F.lit(1.0), share + F.when(section_id.isNotNull(), F.lit(SECTION_BONUS)).otherwise(F.lit(0.0)))
 
 
-def scored(queries: DataFrame, index: Index, similarity: DataFrame | None = None, weights: tuple = WEIGHTS, embed=None) -> DataFrame:
+def scored(queries: DataFrame, index: Index, similarity: DataFrame | None = None, weights: tuple = WEIGHTS, embed=None, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, unit_id, final_score, bm25_score, semantic_score, structural_score) for the admitted units.
 
-    similarity(query_id, unit_id, semantic) gives vector scores; without it texts of queries and admitted units are embedded.
+    similarity(query_id, unit_id, semantic) gives vector scores; without it texts of queries and admitted units are embedded. terms is the profile of the queries, if it is known.
     """
-    terms = profile(queries, index)
+    terms = profile(queries, index) if terms is None else terms
     hits = admitted(terms, index)
     best = F.greatest(F.max("bm25").over(Window.partitionBy("query_id")), F.lit(LEAST_MAXIMUM))
     hits = hits.withColumn("normal", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / best)))
@@ -216,8 +216,9 @@ def distinct_hits(hits: DataFrame, limit: int) -> DataFrame:
 def hybrid_search(queries: DataFrame, index: Index, limit: int = 5, weights: tuple = WEIGHTS, embed=None) -> DataFrame:
     """(query_id, rank, unit_id, doc_id, title, page_start, page_end, section_id, snippet, snippet_page, final_score, bm25_score, semantic_score,
     structural_score): the best distinct passages for each query. A smaller limit gives the beginning of what a larger one gives, up to repeated passages."""
-    best = ranked(scored(queries, index, weights=weights, embed=embed), "final_score", 4 * limit)
-    hits = distinct_hits(with_snippets(best, profile(queries, index), index), limit)
+    terms = profile(queries, index).persist()  # a few rows for each query, read by several branches of the plan
+    best = ranked(scored(queries, index, weights=weights, embed=embed, terms=terms), "final_score", 4 * limit)
+    hits = distinct_hits(with_snippets(best, terms, index), limit)
     out = hits.join(index.units.select("unit_id", "doc_id", "title", "page_start", "page_end", "section_id"), "unit_id")
     return out.select("query_id", "rank", "unit_id", "doc_id", "title", "page_start", "page_end", "section_id", "snippet", "snippet_page", "final_score", "bm25_score", "semantic_score", "structural_score")
 

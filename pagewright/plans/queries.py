@@ -361,7 +361,7 @@ def link_extract(spark, d):
 
 @query
 def link_filter(spark, d):
-    return extract.filter_links(extract.html_links(S.table(spark, d, "pages")), "external").select("page_id", "ord", "uri")
+    return extract.filter_links(extract.html_links(S.table(spark, d, "pages")), "internal").select("page_id", "ord", "uri")
 
 
 @query

@@ -168,7 +168,7 @@ SELECT *, sum((used > 1500)::INT) OVER (PARTITION BY doc_id ORDER BY page_number
     "page_classify": f"WITH {KINDS}\nSELECT doc_id, page_number, visible, kind FROM kinds",
     "scan_summary": f"WITH {KINDS}\nSELECT doc_id, count(*) AS total_pages, count(*) FILTER (kind = 'scanned_image') AS scanned_pages, count(*) FILTER (kind = 'empty') AS empty_pages, sum(strlen(coalesce(text, '')))::BIGINT AS resident_bytes FROM kinds GROUP BY doc_id",
     "link_extract": f"WITH {LINKS}\nSELECT page_id, ord::INT AS ord, uri, kind FROM links",
-    "link_filter": f"WITH {LINKS}\nSELECT page_id, ord::INT AS ord, uri FROM links WHERE kind = 'external'",
+    "link_filter": f"WITH {LINKS}\nSELECT page_id, ord::INT AS ord, uri FROM links WHERE kind = 'internal'",
     "link_counts": f"WITH {LINKS}\nSELECT page_id, count(*) AS total_links, count(*) FILTER (kind = 'external') AS external_links, count(*) FILTER (kind = 'internal') AS internal_links FROM links GROUP BY page_id",
     "form_classify": FORMS + "SELECT * FROM leaves",
     "form_filter": FORMS + "SELECT * FROM leaves WHERE trim(value) <> ''",

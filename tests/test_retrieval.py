@@ -97,6 +97,14 @@ def test_section_pages_are_cited(spark):
     assert hits and all(h.snippet_page == h.query_id + 1 for h in hits if h.section_id)
 
 
+def test_saved_indices_answer_alike(spark, tmp_path):
+    i = corpus(spark, [f"page {k} of the handbook about topic{k % 3} and more" for k in range(9)])
+    i.save(str(tmp_path))
+    q = ask(spark, "topic1 handbook", "topic2")
+    loaded = index.Index.load(spark, str(tmp_path))
+    assert sorted(retrieve.bm25_search(q, i).collect()) == sorted(retrieve.bm25_search(q, loaded).collect())
+
+
 def test_embedding_matches_a_plain_version():
     def plain(text, dim=128):
         v = np.zeros(dim)
