@@ -30,9 +30,18 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(k), canon)), 16, "0") for k in range(1, 5))))
 
 
+def _packed(hexed: Column) -> Column:
+    """Half the bytes for what is shuffled."""
+    return F.unhex(hexed)
+
+
+def _shown(packed: Column) -> Column:
+    return F.lower(F.hex(packed))
+
+
 def _named(d: Column, sha: Column, first_sha: Column, same: Column) -> Column:
     """The digest; with the text's own SHA-256 if the bucket's first text is another one."""
-    return F.when(first_sha.isNull() | ((sha == first_sha) & same), d).otherwise(F.concat(d, F.lit("-"), sha))
+    return F.when(first_sha.isNull() | ((sha == first_sha) & same), _shown(d)).otherwise(F.concat(_shown(d), F.lit("-"), _shown(sha)))
 
 
 def followers(ids: DataFrame) -> DataFrame:
@@ -55,12 +64,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     docs = _typed(docs)
     signed, buckets = _buckets(docs)
-    return _confirmed(docs, signed, buckets).select("doc_id", "digest", "fingerprint")
+    return _confirmed(docs, signed, buckets).select("doc_id", _shown(F.col("digest")).alias("digest"), "fingerprint")
 
 
 def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     canon = docs.withColumn("canon", canonical(F.col("text")))
-    signed = stored(canon.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), digest(F.col("canon")).alias("digest"), F.sha2("canon", 256).alias("sha")))
+    signed = stored(canon.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), _packed(digest(F.col("canon"))).alias("digest"), _packed(F.sha2("canon", 256)).alias("sha")))
     first = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "sha")).alias("first"), F.count("*").alias("n"))
     return signed, first.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.sha").alias("first_sha"), "n")
 
@@ -82,7 +91,7 @@ def _confirmed(docs: DataFrame, signed: DataFrame, buckets: DataFrame) -> DataFr
     marked = signed.join(several, "digest").filter("doc_id <> first_id").select("doc_id", "digest", "first_id", "sha").distinct()
     # texts stand on the same side of each join in the same form, so all joins read one exchange of them
     known = _texts(docs)
-    own = known.join(marked, "doc_id").withColumn("canon", canonical(F.col("text"))).filter(digest(F.col("canon")) == F.col("digest")).select("doc_id", "sha", "first_id", "canon").alias("own")
+    own = known.join(marked, "doc_id").withColumn("canon", canonical(F.col("text"))).filter(_packed(digest(F.col("canon"))) == F.col("digest")).select("doc_id", "sha", "first_id", "canon").alias("own")
     first = _texts(docs).alias("first")
     pairs = first.join(own, F.col("first.doc_id") == F.col("own.first_id")).select("own.doc_id", "own.sha", (F.col("own.canon") == canonical(F.col("first.text"))).alias("same"))
     differ = pairs.groupBy("doc_id", "sha").agg(F.max("same").alias("same")).filter("NOT same")
@@ -107,7 +116,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     # only the beginning of the next text moves on
     lead = _texts(docs).alias("d").join(after.filter("part > 0").alias("a"), F.col("d.doc_id") == F.col("a.next_id"))
     if _repeats(ids, signed):
-        lead = lead.filter(digest(canonical(F.col("d.text"))) == F.col("a.next_first.digest"))
+        lead = lead.filter(_packed(digest(canonical(F.col("d.text")))) == F.col("a.next_first.digest"))
     lead = lead.select("a.id", F.expr("substring(coalesce(d.text, ''), 1, cast(a.part AS int))").alias("head"))
     lead = lead.groupBy("id").agg(F.first("head").alias("head")).alias("l")
     edited = _texts(docs).alias("d").join(lead, F.col("d.doc_id") == F.col("l.id"), "left").select("d.doc_id", "d.text", "l.head")
@@ -117,10 +126,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = edited.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
     edited = edited.select(
         "doc_id",
-        F.sha2("canon", 256).alias("sha"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        digest(F.col("edited_canon")).alias("edited_digest"),
-        F.sha2("edited_canon", 256).alias("edited_sha"),
+        _packed(F.sha2("canon", 256)).alias("sha"),
+        _packed(F.sha2("edited", 256)).alias("edited_sha256"),
+        _packed(digest(F.col("edited_canon"))).alias("edited_digest"),
+        _packed(F.sha2("edited_canon", 256)).alias("edited_sha"),
         (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"),
     )
     named = _confirmed(docs, signed, buckets).groupBy("doc_id", "sha").agg(F.first("n_chars").alias("n_chars"), F.first("digest").alias("digest"), F.first("fingerprint").alias("fingerprint"))
@@ -130,7 +139,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        _shown(F.col("edited_sha256")).alias("edited_sha256"),
         "fingerprint",
         _named(F.col("edited_digest"), F.col("edited_sha"), F.col("first_sha"), F.lit(True)).alias("edited_fingerprint"),
         "near_edited",
