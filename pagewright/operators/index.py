@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import new_folder
 
 #: Pages with fewer bytes are no units.
 SHORTEST_PAGE = 20
@@ -33,9 +34,11 @@ class Index:
 
     def save(self, folder: str) -> None:
         """Writes the tables; postings and terms are sorted by term, so a scan for a few terms skips most row groups, and units by unit_id."""
+        self.persist()  # dealing rows to ranges reads them twice
         for name, key in (("units", "unit_id"), ("postings", "term"), ("terms", "term")):
             getattr(self, name).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
         self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+        self.unpersist()
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
@@ -47,7 +50,7 @@ class Index:
 
 
 class IndexCache:
-    """The latest few indices by signature; the oldest goes first."""
+    """The latest few indices by signature; the oldest goes first. They are written once and read from their files, so plans of queries begin at scans."""
 
     def __init__(self, size: int = 4):
         self.size = size
@@ -57,7 +60,11 @@ class IndexCache:
         if signature not in self.kept:
             while len(self.kept) >= self.size:
                 self.kept.pop(next(iter(self.kept))).unpersist()
-            self.kept[signature] = make().persist()
+            built = make()
+            spark = built.units.sparkSession
+            folder = new_folder(spark, "index")
+            built.save(folder)
+            self.kept[signature] = Index.load(spark, folder).persist()
         return self.kept[signature]
 
 
