@@ -27,7 +27,7 @@ LENGTH = 64
 PER_LANGUAGE = 250
 #: Words that are in a language's lexicon at most.
 LEXICON = 300
-REMEMBERED = 80_000
+REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -36,12 +36,36 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """Places in the weight table of a word's features; lexicon features come after the hashed ones."""
-    framed = f"^{word}$"
-    names = ["w" + word, *("p" + word[:n] for n in (1, 2, 3)), *("s" + word[-n:] for n in (1, 2, 3))]
-    names += ["g" + framed[i : i + n] for n in (2, 3) for i in range(min(len(framed), 40) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(x) % HASHED for x in names] + [HASHED + k for k in lexicon.get(word, ())]
+_WIDTH = 40
+_random = np.random.default_rng(411)
+_PLACE = _random.integers(1, 1 << 62, _WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TAG = _random.integers(1, 1 << 62, 16, dtype=np.uint64)
+
+
+def features(words_: list[str]) -> np.ndarray:
+    """Places in the weight table of the hashed features of some words, a row for each; HASHED stands for none.
+
+    A word of more than 38 letters stands for its first and last 19 here. Codes of all words are one matrix, so that n-grams are hashed in whole columns.
+    """
+    short = [w if len(w) <= _WIDTH - 2 else w[:19] + w[-19:] for w in words_]
+    codes = np.frombuffer("".join(f"^{w}$".ljust(_WIDTH, "\0") for w in short).encode("utf-32-le"), np.uint32).reshape(len(short), _WIDTH).astype(np.uint64)
+    size = np.array([len(w) for w in short])[:, None] + 2
+
+    def place(x: np.ndarray, tag: int) -> np.ndarray:
+        x = (x + _TAG[tag]) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x >> np.uint64(49)).astype(np.int64) % HASHED
+
+    out = [place((codes * _PLACE).sum(axis=1, dtype=np.uint64)[:, None], 0)]
+    for n in (1, 2, 3):
+        inside = np.arange(n) < size - 2
+        out.append(place((np.where(inside, codes[:, 1 : n + 1], 0) * _PLACE[:n]).sum(axis=1, dtype=np.uint64)[:, None], n))
+        last = np.take_along_axis(codes, np.maximum(size - 1 - np.arange(1, n + 1), 0), 1)
+        out.append(place((np.where(inside, last, 0) * _PLACE[:n]).sum(axis=1, dtype=np.uint64)[:, None], 3 + n))
+    for n in (2, 3):
+        grams = sum(codes[:, i : _WIDTH - n + 1 + i] * _PLACE[i] for i in range(n))
+        out.append(np.where(np.arange(_WIDTH - n + 1) + n <= size, place(grams, 6 + n), HASHED))
+    return np.concatenate(out, axis=1)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +97,29 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, between: np.ndarra
     return marginals, expected
 
 
+def marginals_of(scores: np.ndarray, lengths: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """The marginals of forward_backward() alone, for scores laid out as (word, sequence, label): steps over words touch adjacent memory, in single precision."""
+    width, n, labels = scores.shape
+    local = np.exp(scores - scores.max(axis=2, keepdims=True))
+    move = np.exp(between - between.max()).astype(scores.dtype)
+    # padding adds nothing: all labels alike, and messages from behind begin anew at each sequence's last word
+    ahead = np.empty_like(local)
+    ahead[0] = local[0] / local[0].sum(axis=1, keepdims=True)
+    for t in range(1, width):
+        x = (ahead[t - 1] @ move) * local[t]
+        x /= x.sum(axis=1, keepdims=True)
+        ahead[t] = x
+    back = np.ones((n, labels), scores.dtype)
+    turned = np.ascontiguousarray(move.T)
+    for t in range(width - 2, -1, -1):
+        back = (local[t + 1] * back) @ turned
+        back /= back.sum(axis=1, keepdims=True)
+        back[t + 1 >= lengths] = 1.0
+        ahead[t] *= back
+    ahead /= ahead.sum(axis=2, keepdims=True)
+    return ahead
+
+
 class Model:
     def __init__(self, labels: list[str], lexicon: dict[str, list[int]], weights: np.ndarray, between: np.ndarray):
         self.labels, self.lexicon, self.weights, self.between = labels, lexicon, weights, between
@@ -89,32 +136,34 @@ class Model:
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        at = np.empty(len(found), np.int64)
-        for i, w in enumerate(found):
-            k = known.get(w)
-            if k is None:
-                k = known[w] = len(known)
-                if k >= len(self._rows):
-                    self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-                self._rows[k] = self.weights[features(w, self.lexicon)].sum(axis=0)
-            at[i] = k
-        return self._rows[at]
+        new = list(set(found).difference(known))
+        while len(self._rows) < len(known) + len(new):
+            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            first = len(known)
+            known.update(zip(part, range(first, first + len(part)), strict=True))
+            self._rows[first : first + len(part)] = self.weights[features(part)].sum(axis=1)
+            for i, w in enumerate(part):
+                for label in self.lexicon.get(w, ()):
+                    self._rows[first + i] += self.weights[HASHED + 1 + label]
+        return self._rows[np.fromiter(map(known.__getitem__, found), np.int64, len(found))]
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words, the marginal probabilities (word, label)."""
         if not any(texts):
             return [np.zeros((0, len(self.labels)))] * len(texts)
         sizes = np.array([len(t) for t in texts])
-        flat = np.concatenate([self.emissions(t) for t in texts if t]).astype(np.float64)
+        flat = self.emissions([w for t in texts for w in t])
         starts = np.cumsum([0, *sizes[:-1]])
         begin = np.concatenate([np.arange(s, s + n, LENGTH) for s, n in zip(starts, sizes, strict=True)])
         length = np.concatenate([np.minimum(LENGTH, n - np.arange(0, n, LENGTH)) for n in sizes if n])
         out = np.empty_like(flat)
-        for a in range(0, len(begin), 2048):
-            b, n = begin[a : a + 2048], length[a : a + 2048]
-            index = np.minimum(b[:, None] + np.arange(LENGTH)[None, :], len(flat) - 1)
-            got, _ = forward_backward(flat[index], n, self.between)
-            inside = np.arange(LENGTH)[None, :] < n[:, None]
+        for a in range(0, len(begin), 512):
+            b, n = begin[a : a + 512], length[a : a + 512]
+            index = np.minimum(b[None, :] + np.arange(LENGTH)[:, None], len(flat) - 1)
+            got = marginals_of(flat[index], n, self.between)
+            inside = np.arange(LENGTH)[:, None] < n[None, :]
             out[index[inside]] = got[inside]
         return [out[s : s + n] for s, n in zip(starts, sizes, strict=True)]
 
@@ -123,7 +172,7 @@ def fit(rows: list[tuple[str, str]], steps: int = 160, seed: int = 7) -> Model:
     """A model from (text, language) rows."""
     labels = sorted({lang for _, lang in rows})
     if not rows:
-        return Model([], {}, np.zeros((HASHED, 0), np.float32), np.zeros((0, 0)))
+        return Model([], {}, np.zeros((HASHED + 1, 0), np.float32), np.zeros((0, 0)))
     texts = [(words(t), labels.index(lang)) for t, lang in rows]
     counts = [Counter() for _ in labels]
     for w, k in texts:
@@ -133,7 +182,7 @@ def fit(rows: list[tuple[str, str]], steps: int = 160, seed: int = 7) -> Model:
         for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon.setdefault(w, []).append(k)
     n = len(labels)
-    weights, between = np.zeros((HASHED + n, n)), np.zeros((n, n))
+    weights, between = np.zeros((HASHED + 1 + n, n)), np.zeros((n, n))
     model = Model(labels, lexicon, weights, between)
     r = np.random.default_rng(seed)
     by = [[w for w, k in texts if k == label and w] for label in range(n)]
@@ -155,11 +204,12 @@ def fit(rows: list[tuple[str, str]], steps: int = 160, seed: int = 7) -> Model:
             gold.append(y[:LENGTH])
         lengths = np.array([len(w) for w in batch])
         places, rows_ = [], []
+        new = list({word for w in batch for word in w}.difference(cache))
+        for word, own in zip(new, features(new) if new else (), strict=True):
+            cache[word] = [*own[own < HASHED].tolist(), *(HASHED + 1 + label for label in lexicon.get(word, ()))]
         for i, w in enumerate(batch):
             for t, word in enumerate(w):
-                f = cache.get(word)
-                if f is None:
-                    f = cache[word] = features(word, lexicon)
+                f = cache[word]
                 places += f
                 rows_ += [i * LENGTH + t] * len(f)
         places, rows_ = np.array(places), np.array(rows_)

@@ -40,6 +40,12 @@ def test_forward_backward_against_all_paths():
         assert np.allclose(got[i, :n], want / total)
         moves += own / total
     assert np.allclose(expected, moves)
+    r = np.random.default_rng(2)
+    scores, lengths = r.normal(size=(40, 9, 4)), r.integers(1, 10, 40)
+    between = r.normal(size=(4, 4))
+    slow, fast = langid_crf.forward_backward(scores, lengths, between)[0], langid_crf.marginals_of(scores.transpose(1, 0, 2).astype(np.float32), lengths, between)
+    for i, n in enumerate(lengths):
+        assert np.allclose(slow[i, :n], fast[:n, i], atol=1e-4)
 
 
 def test_language_of_held_out_documents(spark, docs):
