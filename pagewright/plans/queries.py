@@ -456,7 +456,7 @@ def reading_order(spark, d):
 
 @query
 def fragment_width(spark, d):
-    return docs(spark, d).select("doc_id", r6(layout.fragment_width(F.substring("text", 1, 200), F.lit(11.0))).alias("width"))
+    return docs(spark, d).select("doc_id", r6(layout.fragment_width(F.col("text"), F.lit(11.0))).alias("width"))
 
 
 # --- knowledge and evaluation ----------------------------------------------
