@@ -217,10 +217,8 @@ def snippet_page(spark, d):
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical hits with the beginnings of their units as snippets."""
-    i = built(spark, d)
-    best = retrieve.bm25_search(asked(spark, d), i, 8).select("query_id", "unit_id", "rank")
-    return best.join(i.units, "unit_id").select("query_id", "rank", "unit_id", "doc_id", "title", "section_id", F.col("page_start").alias("snippet_page"), F.substring("text", 1, 900).alias("snippet"))
+    """Twice as many hits as are packed, with snippets and pages from where the query matches."""
+    return retrieve.hybrid_search(asked(spark, d), built(spark, d), 10)
 
 
 @query
@@ -476,8 +474,8 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bench_summary(spark, d):
-    shown = context.evidence_markdown(context.pack_evidence(_hits(spark, d), 1000, 5)).withColumnRenamed("markdown", "text")
-    out = evaluate.summary(evaluate.measure(_questions(spark, d), shown, conv(spark, d)[0]))
+    pages, sections = conv(spark, d)
+    out = evaluate.summary(evaluate.run_suite(_questions(spark, d), built(spark, d), sections, pages))
     return out.select("questions", "passed", *(F.round(c, 4).alias(c) for c in ("average_reduction", "average_recall", "average_tokens")))
 
 
