@@ -127,6 +127,13 @@ def structural(query_terms: Column, title: Column, section_id: Column) -> Column
     return F.least(F.lit(1.0), share + F.when(section_id.isNotNull(), F.lit(SECTION_BONUS)).otherwise(F.lit(0.0)))
 
 
+def with_structure(hits: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+    """hits(query_id, unit_id, ...) with title, section_id and structural_score of their units."""
+    wanted = terms.groupBy("query_id").agg(F.collect_set("term").alias("query_terms"))
+    rows = hits.join(wanted, "query_id").join(index.units.select("unit_id", "title", "section_id"), "unit_id")
+    return rows.withColumn("structural_score", structural(F.col("query_terms"), F.col("title"), F.col("section_id"))).drop("query_terms")
+
+
 def scored(queries: DataFrame, index: Index, similarity: DataFrame | None = None, weights: tuple = WEIGHTS, embed=None, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, unit_id, final_score, bm25_score, semantic_score, structural_score) for the admitted units.
 
@@ -136,9 +143,7 @@ def scored(queries: DataFrame, index: Index, similarity: DataFrame | None = None
     hits = admitted(terms, index)
     best = F.greatest(F.max("bm25").over(Window.partitionBy("query_id")), F.lit(LEAST_MAXIMUM))
     hits = hits.withColumn("normal", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / best)))
-    wanted = terms.groupBy("query_id").agg(F.collect_set("term").alias("query_terms"))
-    hits = hits.join(wanted, "query_id").join(index.units.select("unit_id", "title", "section_id"), "unit_id")
-    hits = hits.withColumn("structural_score", structural(F.col("query_terms"), F.col("title"), F.col("section_id")))
+    hits = with_structure(hits, terms, index)
     if similarity is None:
         embed = embed or V.embedding()
         own = index.units.join(hits.select("unit_id").distinct(), "unit_id", "left_semi").select("unit_id", embed("text").alias("unit_vector"))

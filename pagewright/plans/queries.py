@@ -172,10 +172,9 @@ def absent_terms(spark, d):
 @query
 def structural_score(spark, d):
     i = built(spark, d)
-    wanted = retrieve.query_tokens(asked(spark, d).unionByName(values(spark, X.OFF_TOPIC, "query_id, query").select(F.col("query_id").cast("long"), "query"))).groupBy("query_id").agg(F.collect_set("token").alias("terms"))
-    titles = i.units.select("title", "section_id").distinct()
-    both = wanted.join(F.broadcast(titles.filter("section_id IS NOT NULL OR title = 'Página 1'")), how="cross")
-    return both.select("query_id", "title", r6(retrieve.structural(F.col("terms"), F.col("title"), F.col("section_id"))).alias("score"))
+    terms = retrieve.profile(_off_topic(spark, d), i)
+    hits = retrieve.with_structure(retrieve.admitted(terms, i), terms, i)
+    return hits.select("query_id", "unit_id", "title", r6("structural_score").alias("score"))
 
 
 @query
