@@ -417,7 +417,7 @@ def store_upsert(spark, d):
 @query
 def list_documents(spark, d):
     rows = _stored(spark, d)
-    old = rows.filter("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("disk").alias("origin"))
+    old = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("disk").alias("origin"))
     new = rows.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("memory").alias("origin"))
     return store.merged(old, new).orderBy("doc_id")
 
