@@ -11,6 +11,8 @@ LINES = """(1, 'INTENT'), (2, 'Define the thing.'), (3, '1. First part'), (4, '1
 (9, 'capítulo dos'), (10, 'ends with comma,'), (11, 'A | B'), (12, '| Name | Size | Kind |'), (13, '|---|---|---|'), (14, '| one | 2 | x |'), (15, '| two | 3 | y |'), (16, ''),
 (17, 'col a    col b    col c'), (18, 'x1    y1    z1'), (19, 'x2    y2    z2'), (20, 'prose with one gap  here'), (21, '1.2.3.4 Deepest'), (22, 'CONSECUENCIAS ÑANDÚ'), (23, 'Wait...'), (24, '  ## Indented  ')"""
 TREE = "('a', 0, NULL, 1), ('a', 1, 0, 1), ('a', 2, 0, 4), ('a', 3, 2, 4), ('a', 4, 2, 6), ('a', 5, NULL, 9), ('a', 6, 5, 12), ('b', 0, NULL, 3), ('b', 1, NULL, 3), ('b', 2, 1, 7)"
+PAGES = """('scans', 1, '', 600, 800), ('scans', 2, 'Stamp 42', 10, 10), ('scans', 3, 'A short caption of somewhat more than fifty visible characters stands below it', 300, 200), ('scans', 4, 'A short caption of somewhat more than fifty visible characters stands below it', 100, 100),
+('scans', 5, '', NULL, NULL), ('scans', 6, NULL, NULL, NULL), ('scans', 7, 'Few words', NULL, NULL)"""
 FIELDS = """(1, NULL, 'employee', NULL, NULL, NULL), (2, 1, 'address', NULL, NULL, NULL), (3, 2, 'zip', 'Tx', 2, '12345'), (4, 2, 'city', 'Tx', 0, ' '), (5, NULL, 'agree', 'Btn', 0, 'Yes'),
 (6, NULL, 'sex', 'Btn', 32768, NULL), (7, NULL, 'go', 'Btn', 65536, NULL), (8, NULL, 'list', 'Ch', 3, 'a, b'), (9, 8, '', NULL, NULL, 'kid'), (10, NULL, 'sign', 'Sig', 1, ''), (11, NULL, 'other', 'Xy', 0, 'z')"""
 ATTACHMENTS = """('d1', 0, 1, 7, 'att_data_csv', 'data.csv'), ('d1', 1, 2, 7, 'att_again', 'data.csv'), ('d1', 2, 3, 8, 'att_img', 'img.png'), ('d1', 2, 4, 9, 'att_up', '../up.txt'), ('d1', 0, 5, 10, 'att_c', 'C:evil'), ('d2', 2, 6, 7, 'att_x', '..'), ('d2', 0, 7, 7, 'att_y', ' ok.txt ')"""

@@ -327,12 +327,12 @@ def gfm_tables(spark, d):
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of conversations as pages, which have no images, and a few pages that have some or no text."""
     c = S.table(spark, d, "conversations")
-    n = F.length(F.coalesce("text", F.lit("")))
-    text = F.when(n % 3 == 0, F.substring("text", 1, 60)).when(n % 7 == 0, F.lit("")).otherwise(F.col("text"))
-    images = F.when(n % 2 == 0, F.array(F.struct((n % 400).alias("w"), (n % 300).alias("h")))).otherwise(F.array().cast("array<struct<w:int,h:int>>"))
-    rows = c.select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).alias("page_number"), text.alias("text"), images.alias("images"))
-    return rows.withColumn("kind", extract.page_kind(F.col("text"), F.col("images")))
+    turns = c.select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).alias("page_number"), "text", F.array().cast("array<struct<w:int,h:int>>").alias("images"))
+    images = F.when(F.col("w").isNotNull(), F.array(F.struct("w", "h"))).otherwise(F.array())
+    extra = values(spark, X.PAGES, "doc_id, page_number, text, w, h").select("doc_id", "page_number", "text", images.alias("images"))
+    return turns.unionByName(extra).withColumn("kind", extract.page_kind(F.col("text"), F.col("images")))
 
 
 @query
