@@ -28,15 +28,16 @@ PER_LANGUAGE = 250
 #: Words that are in a language's lexicon at most.
 LEXICON = 300
 REMEMBERED = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WIDTH = 40
+#: Longer runs of letters, as where words are not parted by spaces, are successive words.
+_WORD = re.compile(rf"[^\W\d_]{{1,{_WIDTH - 2}}}")
 
 
 def words(text: str | None) -> list[str]:
-    """The runs of letters, in lower case."""
+    """The runs of letters, in lower case, in pieces of at most 38."""
     return _WORD.findall(text.lower()) if text else []
 
 
-_WIDTH = 40
 _random = np.random.default_rng(411)
 _PLACE = _random.integers(1, 1 << 62, _WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TAG = _random.integers(1, 1 << 62, 16, dtype=np.uint64)
@@ -45,11 +46,10 @@ _TAG = _random.integers(1, 1 << 62, 16, dtype=np.uint64)
 def features(words_: list[str]) -> np.ndarray:
     """Places in the weight table of the hashed features of some words, a row for each; HASHED stands for none.
 
-    A word of more than 38 letters stands for its first and last 19 here. Codes of all words are one matrix, so that n-grams are hashed in whole columns.
+    Words have at most 38 letters. Codes of all words are one matrix, so that n-grams are hashed in whole columns.
     """
-    short = [w if len(w) <= _WIDTH - 2 else w[:19] + w[-19:] for w in words_]
-    codes = np.frombuffer("".join(f"^{w}$".ljust(_WIDTH, "\0") for w in short).encode("utf-32-le"), np.uint32).reshape(len(short), _WIDTH).astype(np.uint64)
-    size = np.array([len(w) for w in short])[:, None] + 2
+    codes = np.frombuffer("".join(f"^{w}$".ljust(_WIDTH, "\0") for w in words_).encode("utf-32-le"), np.uint32).reshape(len(words_), _WIDTH).astype(np.uint64)
+    size = np.array([len(w) for w in words_])[:, None] + 2
 
     def place(x: np.ndarray, tag: int) -> np.ndarray:
         x = (x + _TAG[tag]) * np.uint64(0x9E3779B97F4A7C15)
