@@ -18,7 +18,9 @@ WINDOW = 5
 PERCENT = 75
 #: Windows of the benchmark that are broadcast at most; a larger benchmark is joined by shuffling.
 BROADCAST_WINDOWS = 1_000_000
-TOKEN = r"[.!?\n]|[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%€$£°]"
+#: Scripts that don't part words by spaces: each letter is a token.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TOKEN = rf"[.!?\n]|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*|" + r"[0-9]+(?:[.,][0-9]+)*|[%€$£°]"
 ENDS = [".", "!", "?", "\n"]
 SIGNS = ["%", "€", "$", "£", "°"]
 #: Words for units after a number.
@@ -52,37 +54,50 @@ def tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", hashed).drop("raw", "before")
 
 
-def windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, tokens, at, window) for each window of the column tokens; at counts from 0."""
+def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
+    """(key, tokens, at, window) for each window of size tokens of the column tokens; at counts from 0."""
     # a filter on the size would be pushed down and make the tokens twice
-    places = F.when(F.size("tokens") >= WINDOW, F.sequence(F.lit(0), F.size("tokens") - WINDOW))
+    places = F.when(F.size("tokens") >= size, F.sequence(F.lit(0), F.size("tokens") - size))
     at = rows.select(key, "tokens", F.explode(places).alias("at"))
-    return at.withColumn("window", F.xxhash64(*(F.col("tokens")[F.col("at") + i]["h"] for i in range(WINDOW))))
+    return at.withColumn("window", F.xxhash64(*(F.col("tokens")[F.col("at") + i]["h"] for i in range(size))))
+
+
+def _found(items: DataFrame, rows: DataFrame, size: int, broadcast_windows: int) -> tuple[DataFrame, DataFrame]:
+    """(item_id, window) for the windows of items, and (doc_id, item_id, window, shift, slots) where documents have them."""
+    wanted = windows(items, "item_id", size)
+    # the tokens of a window, one by one: rows must never carry a document's whole array past the explosion
+    cut = F.array(*(F.col("tokens")[F.col("at") + i] for i in range(size)))
+    wanted = wanted.select("item_id", F.col("at").alias("item_at"), "window", cut.alias("item_tokens"))
+    there = windows(rows, "doc_id", size)
+    if wanted.limit(broadcast_windows + 1).count() <= broadcast_windows:
+        # a document's tokens are cut to the window behind the join, so only matches carry any
+        found = there.join(F.broadcast(wanted), "window").withColumn("doc_tokens", cut).drop("tokens")
+    else:
+        found = there.withColumn("doc_tokens", cut).drop("tokens").join(wanted, "window")
+    found = found.select("doc_id", "item_id", "window", (F.col("at") - F.col("item_at")).alias("shift"), _slots("item_tokens", "doc_tokens", size).alias("slots"))
+    return wanted.select("item_id", "window"), found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows): items of benchmark(item_id, text) that have leaked into documents of docs(doc_id, text), whole texts each.
 
     n_windows counts the item's distinct template windows, n_matched those of them that the document has on consistent alignments;
-    100 * n_matched >= percent * n_windows. Items with fewer than five template tokens have no windows and are never found; null and empty texts match nothing. Rows that
+    100 * n_matched >= percent * n_windows. An item with fewer than five template tokens is one window of its own length; null and empty texts match nothing. Rows that
     repeat a doc_id or item_id count as one document or item with all their texts; rows without an id are left out. Empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL")
-    wanted = windows(tokens(items), "item_id")
-    # the tokens of a window, one by one: rows must never carry a document's whole array past the explosion
-    cut = F.array(*(F.col("tokens")[F.col("at") + i] for i in range(WINDOW)))
-    wanted = wanted.select("item_id", F.col("at").alias("item_at"), "window", cut.alias("item_tokens"))
-    totals = wanted.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
+    items = tokens(items)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    there = windows(tokens(rows), "doc_id")
-    if wanted.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        # a document's tokens are cut to the window behind the join, so only matches carry any
-        found = there.join(F.broadcast(wanted), "window").withColumn("doc_tokens", cut).drop("tokens")
-    else:
-        found = there.withColumn("doc_tokens", cut).drop("tokens").join(wanted, "window")
-    found = found.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "window", "item_tokens", "doc_tokens")
+    rows = tokens(rows)
+    wanted, found = _found(items, rows, WINDOW, broadcast_windows)
+    # an item of fewer tokens is one window of its own length; at most four lengths reach the driver
+    lengths = items.select(F.size("tokens").alias("n")).filter(F.col("n").between(1, WINDOW - 1)).distinct().collect()
+    for n in sorted(r["n"] for r in lengths):
+        short, more = _found(items.filter(F.size("tokens") == n), rows, n, broadcast_windows)
+        wanted, found = wanted.unionByName(short), found.unionByName(more)
+    totals = wanted.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
     # candidates first: only these are worth a look at the slots
-    matched = stored(found.select("doc_id", "item_id", "window", "shift", _slots("item_tokens", "doc_tokens").alias("slots")))
+    matched = stored(found)
     counts = matched.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n")).join(totals, "item_id").filter(100 * F.col("n") >= percent * F.col("n_windows"))
     likely = matched.join(counts.select("doc_id", "item_id"), ["doc_id", "item_id"])
     filled = likely.select("doc_id", "item_id", "shift", F.explode("slots").alias("slot")).filter("slot IS NOT NULL")
@@ -93,9 +108,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadca
     return sure.filter(100 * F.col("n_matched") >= percent * F.col("n_windows")).select("doc_id", "item_id", "n_matched", "n_windows")
 
 
-def _slots(item: str, doc: str) -> Column:
+def _slots(item: str, doc: str, size: int) -> Column:
     """The values of a window's slots, of the item's and the document's; null for other tokens."""
-    pairs = ((F.col(item)[i], F.col(doc)[i]) for i in range(WINDOW))
+    pairs = ((F.col(item)[i], F.col(doc)[i]) for i in range(size))
     return F.array(*(F.when(x["slot"], F.struct(F.lower(x["surface"]).alias("item_value"), F.lower(y["surface"]).alias("doc_value"))) for x, y in pairs))
 
 
