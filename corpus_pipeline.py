@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagewright.llm import bpe, decontaminate, minhash, suffix_dedup, toxicity
 from pagewright.llm.common import stored
 
-#: Bytes of a repeated passage: shorter than fifty words in any of the languages.
+#: Bytes of a repeated passage. Few stretches of more than fifty words are shorter (README); where such ones repeat, they stay.
 REPEATED_BYTES = 256
 
 
