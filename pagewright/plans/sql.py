@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
+from ..functions import vectors as V
 from . import fixtures as X
 
 
@@ -64,8 +65,7 @@ PROFILE = [*INDEX, "queries", "qtok", "cands", "profile"]
 OFF = [*INDEX, "off", "qtok", "cands", "profile"]
 HITS = [*INDEX, "queries", "qtok", "raw"]
 COMPACT = trim(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(@, '[ \t\f\v]+', ' ', 'g'), '([\n\r]) +', '\1', 'g'), '\r', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
-PACK = f"""hits AS (SELECT query_id, rank, doc_id, title, section_id, page_start AS snippet_page, substr(text, 1, 900) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rank FROM raw) JOIN units USING (unit_id) WHERE rank <= 8),
-clean AS (SELECT *, {COMPACT.replace("@", 'snippet')} AS text FROM hits WHERE rank <= 5),
+PACK = f"""clean AS (SELECT *, {COMPACT.replace("@", 'snippet')} AS text FROM hits WHERE rank <= 5),
 sized AS (SELECT *, ceil(strlen(text) / 3.8)::BIGINT AS estimated_tokens FROM clean),
 run AS (SELECT *, sum(estimated_tokens) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS running_tokens FROM sized),
 kept AS (SELECT *, max((rank > 1 AND running_tokens > {{budget}})::INT) OVER (PARTITION BY query_id) = 1 AS truncated FROM run),
@@ -74,7 +74,47 @@ MARKDOWN = "shown AS (SELECT query_id, '### Evidencia Recuperada (' || count(*)
 
 
 def packed(then: str, budget: int = 600) -> str:
-    return using(HITS, "") .rstrip() + ",\n" + PACK.replace("{budget}", str(budget)) + "\n" + then
+    return hybrid("", 10).rstrip() + ",\n" + PACK.replace("{budget}", str(budget)) + "\n" + then
+
+
+#: Subword vectors: the mixed 64-bit FNV-1a hashes of words and their 3- and 4-grams, in 128-bit arithmetic.
+BYTES = "list_transform(range(0, (length(hex(f)) // 2)::BIGINT), lambda i: ((strpos('0123456789ABCDEF', substr(hex(f), 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(f), 2 * i + 2, 1)) - 1)::UHUGEINT)"
+WRAP = "% 18446744073709551616::UHUGEINT"
+VECTORS = f"""vwords AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')) AS word FROM vtexts) WHERE word <> '' GROUP BY ALL),
+known AS (SELECT DISTINCT word FROM vwords),
+vparts AS (SELECT word, word AS f, 2.0::DOUBLE AS w FROM known UNION ALL SELECT word, substr(word, i, 3), 1.0 FROM (SELECT word, unnest(range(1, length(word) - 1)) AS i FROM known) UNION ALL SELECT word, substr(word, i, 4), 1.2 FROM (SELECT word, unnest(range(1, length(word) - 2)) AS i FROM known)),
+h0 AS (SELECT f, list_reduce(list_prepend({V.FNV_OFFSET}::UHUGEINT, {BYTES}), lambda h, b: (xor(h, b) * {V.FNV_PRIME}::UHUGEINT) {WRAP}) AS h FROM (SELECT DISTINCT f FROM vparts)),
+h1 AS (SELECT f, (xor(h, h // 8589934592::UHUGEINT) * {V.FINAL_1}::UHUGEINT) {WRAP} AS h FROM h0),
+h2 AS (SELECT f, (xor(h, h // 8589934592::UHUGEINT) * {V.FINAL_2}::UHUGEINT) {WRAP} AS h FROM h1),
+h3 AS (SELECT f, xor(h, h // 8589934592::UHUGEINT) AS h FROM h2),
+vword AS (SELECT word, (h % {V.DIMENSION}::UHUGEINT)::INT AS bin, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -w ELSE w END) AS v FROM vparts JOIN h3 USING (f) GROUP BY ALL),
+vraw AS (SELECT id, bin, sum(n * v) AS v FROM vwords JOIN vword USING (word) GROUP BY ALL),
+vec AS (SELECT id, bin, (v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-9))::FLOAT::DOUBLE AS v FROM vraw)"""
+FUSED = f"""vtexts AS (SELECT 'u' || unit_id AS id, text FROM units WHERE unit_id IN (SELECT unit_id FROM admitted) UNION ALL SELECT 'q' || query_id, query FROM queries_),
+{VECTORS},
+sizes AS (SELECT id, sqrt(sum(v * v)) AS size FROM vec GROUP BY id),
+dots AS (SELECT query_id, unit_id, sum(a.v * b.v) AS dot FROM admitted JOIN vec a ON a.id = 'q' || query_id JOIN vec b ON b.id = 'u' || unit_id AND b.bin = a.bin GROUP BY ALL),
+semantic AS (SELECT query_id, unit_id, greatest(0.0, least(1.0, dot / greatest(a.size * b.size, 1e-9))) AS semantic FROM dots JOIN sizes a ON a.id = 'q' || query_id JOIN sizes b ON b.id = 'u' || unit_id),
+fused AS (SELECT *, 0.5 * greatest(0, least(1, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-5))) + 0.3 * semantic + 0.2 * structural AS final_score FROM (
+  SELECT a.query_id, a.unit_id, a.bm25, coalesce(semantic, 0) AS semantic, least(1.0, 0.7 * len(list_intersect(t, {terms('title')})) / len(t) + CASE WHEN section_id IS NOT NULL THEN 0.3 ELSE 0 END) AS structural
+  FROM admitted a JOIN units USING (unit_id) LEFT JOIN semantic USING (query_id, unit_id) JOIN (SELECT query_id, list(DISTINCT term) AS t FROM profile GROUP BY query_id) USING (query_id)))"""
+#: The text around the first term, in query order, that the folded text has. Folding keeps the number of characters in these tables (no ligatures, no combining marks).
+SNIPPETS = """spots AS (SELECT b.*, text, offsets, page_start, doc_id, title, page_end, section_id, coalesce(list_filter(list_transform(terms, lambda t: strpos(folded, t)), lambda p: p > 0)[1], 0) AS p
+  FROM best b JOIN (SELECT *, {fold} AS folded FROM units WHERE unit_id IN (SELECT unit_id FROM best)) USING (unit_id) JOIN (SELECT query_id, list(term ORDER BY ord) AS terms FROM profile GROUP BY query_id) USING (query_id)),
+placed AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE strlen(left(text, p - 1)) END AS place FROM spots),
+led AS (SELECT *, greatest(0, place - 60) AS lead, coalesce(list_max(list_filter(range(greatest(0, p - 61), greatest(p, 1)), lambda k: strlen(left(text, k)) <= greatest(0, place - 60))), 0) AS k FROM placed),
+ends AS (SELECT *, strlen(left(text, k)) AS start, least(lead + 250, strlen(text)) AS until FROM led),
+cuts AS (SELECT *, list_min(list_filter(range(0, 312), lambda m: start + strlen(substr(text, k + 1, m)) >= until)) AS m FROM ends),
+snippets AS (SELECT *, CASE WHEN start > 0 THEN '... ' ELSE '' END || replace({trim}, chr(10), ' ') || CASE WHEN start + strlen(substr(text, k + 1, m)) < strlen(text) THEN ' ...' ELSE '' END AS snippet,
+  coalesce(split_part(list_filter(string_split(offsets, ','), lambda o: split_part(o, ':', 1)::BIGINT <= place)[-1], ':', 2)::INT, page_start) AS snippet_page FROM cuts)""".replace("{fold}", FOLD.replace("lower(w)", "lower(text)")).replace("{trim}", trim("substr(text, k + 1, m)"))
+
+
+def hybrid(then: str, limit: int) -> str:
+    """Fused search: hits(query_id, rank, ...) are the best distinct passages."""
+    best = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, unit_id) AS place_ FROM fused) WHERE place_ <= {4 * limit})"
+    firsts = "firsts AS (SELECT * FROM snippets QUALIFY row_number() OVER (PARTITION BY query_id, CASE WHEN snippet = '' THEN chr(1) || unit_id ELSE snippet END ORDER BY place_) = 1)"
+    hits = f"hits AS (SELECT * EXCLUDE (text) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place_) AS rank FROM firsts) WHERE rank <= {limit})"
+    return using([*PROFILE, "floors", "matched", "admitted"], "").rstrip() + ",\n" + ",\n".join([FUSED, best, SNIPPETS, firsts, hits]) + "\n" + then
 
 
 LINED = f"""lined AS (SELECT doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'lines', string_agg(text, chr(10) ORDER BY n) FROM (VALUES {X.LINES}) AS v(n, text)),
@@ -101,9 +141,9 @@ ct AS (SELECT doc_id, line, content, CASE
   WHEN contains(t, chr(9)) AND len(list_filter(string_split(t, chr(9)), lambda c: trim(c) <> '')) >= 2 THEN list_filter(list_transform(string_split(t, chr(9)), lambda c: trim(c)), lambda c: c <> '')
   ELSE list_filter(list_transform(regexp_split_to_array(t, ' {2,}'), lambda c: trim(c)), lambda c: c <> '') END AS cells,
   regexp_matches(content, '^[-|+:=\s]+$') AND contains(content, '-') AS rule FROM lt)"""
-KINDS = r"""kinds AS (SELECT doc_id, page_number, text, visible, CASE WHEN n % 2 = 0 AND (visible < 50 OR (visible < 150 AND ((w >= 150 AND h >= 150) OR w * h >= 40000))) THEN 'scanned_image' WHEN visible = 0 AND n % 2 <> 0 THEN 'empty' ELSE 'digital_text' END AS kind FROM (
-  SELECT *, length(regexp_replace(coalesce(text, ''), '[\s\x00-\x1f\x7f]', '', 'g')) AS visible, n % 400 AS w, n % 300 AS h FROM (
-    SELECT conv_id::VARCHAR AS doc_id, turn + 1 AS page_number, length(coalesce(text, '')) AS n, CASE WHEN length(coalesce(text, '')) % 3 = 0 THEN substr(text, 1, 60) WHEN length(coalesce(text, '')) % 7 = 0 THEN '' ELSE text END AS text FROM conversations)))"""
+KINDS = rf"""kinds AS (SELECT doc_id, page_number, text, visible, CASE WHEN w IS NOT NULL AND (visible < 50 OR (visible < 150 AND ((w >= 150 AND h >= 150) OR w * h >= 40000))) THEN 'scanned_image' WHEN visible = 0 THEN 'empty' ELSE 'digital_text' END AS kind FROM (
+  SELECT *, length(regexp_replace(coalesce(text, ''), '[\s\x00-\x1f\x7f]', '', 'g')) AS visible FROM (
+    SELECT conv_id::VARCHAR AS doc_id, turn + 1 AS page_number, text, NULL::INT AS w, NULL::INT AS h FROM conversations UNION ALL SELECT * FROM (VALUES {X.PAGES}) AS v(doc_id, page_number, text, w, h))))"""
 LINKS = r"""larr AS (SELECT page_id, regexp_extract_all(html, 'href\s*=\s*["'']([^"'']*)["'']', 1) AS a FROM pages),
 links AS (SELECT page_id, ord, uri, CASE WHEN regexp_matches(uri, '^([A-Za-z][A-Za-z0-9+.-]*:|//)') THEN 'external' ELSE 'internal' END AS kind FROM (SELECT page_id, trim(unnest(a)) AS uri, unnest(range(0, len(a))) AS ord FROM larr) WHERE uri <> '')"""
 FORMS = f"""WITH RECURSIVE f AS (SELECT * FROM (VALUES {X.FIELDS}) AS v(field_id, parent_id, name, kind, flags, value)),
@@ -146,7 +186,9 @@ SQL: dict[str, str] = {
     "no_evidence": using([*OFF, "floors", "matched"], """SELECT q.query_id, q.query, coalesce((SELECT string_agg(term, ',' ORDER BY ord) FROM profile p WHERE p.query_id = q.query_id AND df = 0), '') AS absent_terms, round(coalesce(best, 0), 6) AS best_matched_idf, round(coalesce(floor, 0), 6) AS required_idf
 FROM queries_ q LEFT JOIN floors USING (query_id) LEFT JOIN (SELECT query_id, max(mass) AS best FROM matched GROUP BY query_id) USING (query_id) WHERE floor IS NULL OR best IS NULL OR best < floor - abs(floor) * 2.220446049250313e-16 * (n + 1)"""),
     "absent_terms": using(OFF, "SELECT query_id, term FROM profile WHERE df = 0"),
-    "structural_score": using(["off", "qtok"], f"SELECT query_id, title, round(least(1.0, 0.7 * len(list_intersect(t, w)) / len(t) + bonus), 6) AS score FROM (SELECT query_id, list(DISTINCT token) AS t FROM qtok GROUP BY query_id), (SELECT title, bonus, {terms('title')} AS w FROM (VALUES ('Document Content', 0.3), ('Página 1', 0.0)) AS v(title, bonus))"),
+    "structural_score": using([*OFF, "floors", "matched", "admitted"], f"SELECT query_id, unit_id, title, round(least(1.0, 0.7 * len(list_intersect(t, {terms('title')})) / len(t) + CASE WHEN section_id IS NULL THEN 0 ELSE 0.3 END), 6) AS score FROM admitted JOIN units USING (unit_id) JOIN (SELECT query_id, list(DISTINCT term) AS t FROM profile GROUP BY query_id) USING (query_id)"),
+    "hybrid_search": hybrid("SELECT query_id, rank::INT AS rank, unit_id, doc_id, title, section_id, snippet, snippet_page, round(final_score, 6) AS final_score, round(bm25, 6) AS bm25_score, round(semantic, 6) AS semantic_score, round(structural, 6) AS structural_score FROM hits", 5),
+    "snippet_page": using([*PROFILE, "raw"], "").rstrip() + ",\nbest AS (SELECT query_id, unit_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rank FROM raw) WHERE rank <= 5),\n" + SNIPPETS + "\nSELECT query_id, unit_id, rank, snippet, snippet_page FROM snippets",
     "fused_ranking_given_vectors": using([*PROFILE, "floors", "matched", "admitted"], f""", fused AS (SELECT query_id, unit_id, 0.5 * greatest(0, least(1, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-5))) + 0.3 * (((length(unit_id) * 37 + query_id * 11) % 1000) / 1000) + 0.2 * structural AS final_score, structural FROM (
   SELECT a.*, least(1.0, 0.7 * len(list_intersect(t, {terms('title')})) / len(t) + CASE WHEN section_id IS NOT NULL THEN 0.3 ELSE 0 END) AS structural FROM admitted a JOIN units USING (unit_id) JOIN (SELECT query_id, list(DISTINCT term) AS t FROM profile GROUP BY query_id) USING (query_id)))
 SELECT query_id, unit_id, rank::INT AS rank, round(final_score, 6) AS final_score, round(structural, 6) AS structural_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, unit_id) AS rank FROM fused) WHERE rank <= 10""").replace("\n, fused", ",\nfused"),
@@ -178,14 +220,14 @@ SELECT *, sum((used > 1500)::INT) OVER (PARTITION BY doc_id ORDER BY page_number
     "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
     "corpus_signature": f"WITH {STORED}\nSELECT sha256(string_agg(doc_id::VARCHAR || chr(0) || content_hash || chr(0), '' ORDER BY doc_id::VARCHAR, content_hash)) AS signature FROM s",
     "store_upsert": f"WITH {STORED}\nSELECT content_hash, doc_id, source FROM s QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id DESC) = 1",
-    "list_documents": f"WITH {STORED}\nSELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'memory' ELSE 'disk' END AS origin FROM s WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0 ORDER BY 1",
+    "list_documents": f"WITH {STORED}\nSELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'memory' ELSE 'disk' END AS origin FROM s ORDER BY 1",
     "gutter_detect": f"WITH {FRAGMENTS}\nSELECT doc_id, page, split_x FROM splits",
     "column_order": f"""WITH {FRAGMENTS},
 wide AS (SELECT f.*, width > greatest(1, x_max - x_min) * 0.55 AS wide, EXISTS (SELECT 1 FROM splits s WHERE s.doc_id = f.doc_id AND s.page = f.page) AS multi, (SELECT count(*) FROM splits s WHERE s.doc_id = f.doc_id AND s.page = f.page AND f.x >= split_x) AS c FROM f JOIN ext USING (doc_id, page)),
 y AS (SELECT *, max(CASE WHEN NOT wide THEN y + height END) OVER p AS top, min(CASE WHEN NOT wide THEN y END) OVER p AS low FROM wide WINDOW p AS (PARTITION BY doc_id, page)),
 parts AS (SELECT *, CASE WHEN NOT multi OR NOT wide THEN 1 WHEN y >= top - 5 THEN 0 WHEN y <= low + 5 THEN 2 ELSE 1 END AS part FROM y)
 SELECT doc_id, page, ord, part, CASE WHEN part = 1 AND multi THEN c ELSE 0 END::INT AS "column" FROM parts""",
-    "fragment_width": """SELECT doc_id, round(greatest(2.0, coalesce(list_sum(list_transform(regexp_extract_all(substr(text, 1, 200), '(?s).'), lambda c: CASE WHEN c = ' ' THEN 0.25 WHEN c IN ('.', ',', ':', ';', '!', '?', '''', '"', '|') THEN 0.22 WHEN c IN ('i', 'l', 'j', 't', 'I', 'f') THEN 0.28 WHEN c IN ('r', 's') THEN 0.38 WHEN c IN ('m', 'w', 'M', 'W') THEN 0.72 WHEN c BETWEEN 'A' AND 'Z' THEN 0.60 ELSE 0.48 END::DOUBLE)), 0) * 11.0), 6) AS width FROM documents""",
+    "fragment_width": """SELECT doc_id, round(greatest(2.0, coalesce(list_sum(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN c = ' ' THEN 0.25 WHEN c IN ('.', ',', ':', ';', '!', '?', '''', '"', '|') THEN 0.22 WHEN c IN ('i', 'l', 'j', 't', 'I', 'f') THEN 0.28 WHEN c IN ('r', 's') THEN 0.38 WHEN c IN ('m', 'w', 'M', 'W') THEN 0.72 WHEN c BETWEEN 'A' AND 'Z' THEN 0.60 ELSE 0.48 END::DOUBLE)), 0) * 11.0), 6) AS width FROM documents""",
     "bench_summary": packed("", 1000).rstrip() + ",\n" + MARKDOWN + """,
 measured AS (SELECT q.query_id, ceil(strlen(coalesce(markdown, '')) / 3.8)::BIGINT AS tokens, list_slice(string_split(query, ' '), 2, 5) AS concepts, coalesce(markdown, '') AS text FROM queries_ q LEFT JOIN shown USING (query_id)),
 rated AS (SELECT *, (1 - least(1.0, tokens / (SELECT greatest(1, sum(ceil(strlen(text) / 3.8)::BIGINT)) FROM pages_))) * 100 AS reduction, CASE WHEN len(concepts) = 0 THEN 1.0 ELSE len(list_filter(concepts, lambda c: contains(lower(text), lower(c)))) / len(concepts) END AS recall, contains(text, '[Source:') OR contains(text, 'p.') OR contains(text, 'Página') AS cited FROM measured)
