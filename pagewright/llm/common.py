@@ -9,19 +9,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 18
+#: A key with more than this part of a table's rows is hot; at most so many keys can be.
+HOT = 2000
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 _temporary: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the setting is missing (as in tests), a new local folder, which is then set for the session."""
+    """The folder of spark.checkpoint.dir; where the setting is missing on a local master (as in tests), a new local folder, which is then set for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _temporary.append(tempfile.TemporaryDirectory(prefix="pagewright-"))
         folder = f"file://{_temporary[-1].name}"
         spark.sparkContext.setCheckpointDir(folder)
@@ -34,6 +39,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pagewright-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    released(*held(df))
     out = spark.read.schema(df.schema).parquet(path)
     out._pagewright_path = path
     where, files = _file_system(spark, path)
@@ -48,16 +54,47 @@ def released(*tables: DataFrame) -> None:
         files.delete(where, True)
 
 
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads tables made by stored(); they go when df itself has been stored."""
+    df._pagewright_holds = (*held(df), *tables)
+    return df
+
+
+def held(df: DataFrame) -> tuple[DataFrame, ...]:
+    """What df reads by holding(): for another DataFrame that is made of df."""
+    return getattr(df, "_pagewright_holds", ())
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined (inner or left_semi) with right, which has one row for each key and, in its column count, how many rows of left bear it; count doesn't come out.
+
+    Keys with more than 1/HOT of the rows of left, at most HOT by that, are broadcast, so their rows stay where they are; the others meet by key.
+    """
+    limit = max(1, rows // HOT)
+    hot, rest = right.filter(F.col(count) > limit).drop(count), right.filter(F.col(count) <= limit).drop(count)
+    if hot.isEmpty():
+        return left.join(rest, on, how)
+    return left.join(F.broadcast(hot), on, how).unionByName(left.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on, how))
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def text_pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows in them) for runs of rows with at most limit bytes, or one longer row. A null text counts as empty."""
-    texts = texts.cast(pa.large_string())
+    """(first row, end row, bytes, offsets of the rows in them) for runs of rows (strings or binary) with at most limit bytes, or one longer row. A null text counts as empty."""
+    texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0

@@ -38,7 +38,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

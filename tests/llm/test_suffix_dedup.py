@@ -78,3 +78,39 @@ def test_parts():
     w = r.integers(0, 3, (5000, 6)).astype(np.uint64)
     o = multikey_quicksort(w)
     assert sorted(o) == list(range(5000)) and (w[o] == np.array(sorted(w.tolist()), np.uint64)).all()
+
+
+def test_shorter_passages_are_told(spark):
+    r = random.Random(5)
+    make = lambda n: "".join(r.choices("abcdé fgh\n", k=n))
+    passages = [make(n) for n in (200, 255, 256, 300, 399, 400, 900)]
+    rows = [(i, make(r.choice([0, 50, 700])) + "".join(r.choice(passages) + make(r.choice([0, 9, 400])) for _ in range(r.randint(0, 3)))) for i in range(80)]
+    rows += [(None, rows[1][1]), (None, rows[2][1]), (7, rows[8][1]), (200, None), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in without_repeats(df, passage=256).collect()), key=str)
+    short = sorted(brute(rows, 256), key=lambda x: str((x[0], x[1])))
+    assert [g[:5] for g in got] == brute(rows)
+    assert sorted((str(g[0]), g[1], g[5]) for g in got) == sorted((str(s[0]), s[1], s[2]) for s in short)
+
+
+def test_a_core_over_many_ranges(spark):
+    """One passage in many different texts, sorted in several ranges: windows that one range has once are found in others."""
+    r = random.Random(6)
+    make = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    core = make(420)
+    rows = [(i, make(40) + ("x" if i % 3 else "y") + core + ("p" if i % 2 else "q") + make(r.choice([5, 90]))) for i in range(120)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_clashing_names_in_cut_texts(spark):
+    both = "ab" * 150 + "c" * 200
+    df = spark.createDataFrame([(1, both + "!", "a", 1, 2, 3), (2, both, "b", 1, 2, 3)], "doc_id long, text string, spans string, own_id int, Own_row int, own_spans int")
+    assert sorted(map(tuple, cut_texts(df).collect())) == [(1, "!", "a", 1, 2, 3), (2, "", "b", 1, 2, 3)]
+    assert cut_texts(df.limit(0)).collect() == []
