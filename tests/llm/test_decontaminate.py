@@ -49,3 +49,29 @@ def test_shares_near_the_threshold(spark):
     item = " ".join(words)  # 40 windows
     docs = [(k, " ".join(words[:k])) for k in range(20, 45)]
     assert [d for d, _ in found(spark, docs, [(1, item)])] == [k for k, _ in docs if 100 * (k - 4) >= 75 * 40]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, ITEM, 1, "a"), (2, "fine text", 2, "b"), (None, ITEM, 3, "c")], "doc_id long, text string, leaked_doc_id long, _LEAKED_doc_id string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert sorted(without_leaks(docs, items).collect(), key=str) == sorted([(2, "fine text", 2, "b"), (None, ITEM, 3, "c")], key=str)
+    assert without_leaks(docs, items.limit(0)).count() == 3 and without_leaks(docs.limit(0), items).count() == 0
+
+
+def test_common_templates(spark):
+    """Items that share nearly all their windows, against a plain search for their words."""
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefgh", k=4)) for _ in range(60)]
+    items = [(k, " ".join(words[:16] + [words[20 + k]] + words[16:20])) for k in range(30)]
+    docs = []
+    for k in range(60):
+        base = items[r.randrange(30)][1].split()
+        cut = r.choice([0, 0, 3, 8])
+        docs.append((k, "so " + " ".join(base[cut:]) + " " + " ".join(r.choices(words, k=5))))
+
+    def grams(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = sorted((d, i) for d, t in docs for i, x in items if 100 * len(grams(t) & grams(x)) >= 75 * len(grams(x)))
+    assert want and found(spark, docs, items) == want and found(spark, docs, items, broadcast_windows=0) == want
