@@ -9,6 +9,7 @@ from the forward-backward recursions, and a text's language is the one with the
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,16 +22,27 @@ from pyspark.sql import functions as F
 from .sampling import sample
 
 HASHED = 1 << 15
-#: Words of a sequence; longer texts are several sequences.
+#: Words of a sequence that is labelled at once, and how many further ones it reads on both sides, so that transitions hold across its borders too.
 LENGTH = 64
+MARGIN = 16
 #: Labelled documents of each language that a model is fitted on, about.
 PER_LANGUAGE = 250
 #: Words that are in a language's lexicon at most.
 LEXICON = 300
 REMEMBERED = 200_000
 _WIDTH = 40
+
+
+def _numbers() -> str:
+    """Character ranges of numbers that are no decimal digits (fractions, exponents, circled and Roman ones): Python's word characters have them, letters don't."""
+    codes = [c for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and not chr(c).isdecimal() and not chr(c).isalpha()]
+    have = set(codes)
+    starts, ends = [c for c in codes if c - 1 not in have], [c for c in codes if c + 1 not in have]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
 #: Longer runs of letters, as where words are not parted by spaces, are successive words.
-_WORD = re.compile(rf"[^\W\d_]{{1,{_WIDTH - 2}}}")
+_WORD = re.compile(rf"[^\W\d_{_numbers()}]{{1,{_WIDTH - 2}}}")
 
 
 def words(text: str | None) -> list[str]:
@@ -156,15 +168,19 @@ class Model:
         sizes = np.array([len(t) for t in texts])
         flat = self.emissions([w for t in texts for w in t])
         starts = np.cumsum([0, *sizes[:-1]])
-        begin = np.concatenate([np.arange(s, s + n, LENGTH) for s, n in zip(starts, sizes, strict=True)])
-        length = np.concatenate([np.minimum(LENGTH, n - np.arange(0, n, LENGTH)) for n in sizes if n])
+        # (first word, end) of each part of a text, and the same with the words around it
+        parts = [(at, min(at + LENGTH, s + n), s, s + n) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) for at in range(s, s + n, LENGTH)]
+        first, end, low, high = np.array(parts).T
+        begin = np.maximum(low, first - MARGIN)
+        length = np.minimum(high, end + MARGIN) - begin
+        width = LENGTH + 2 * MARGIN
         out = np.empty_like(flat)
         for a in range(0, len(begin), 512):
             b, n = begin[a : a + 512], length[a : a + 512]
-            index = np.minimum(b[None, :] + np.arange(LENGTH)[:, None], len(flat) - 1)
-            got = marginals_of(flat[index], n, self.between)
-            inside = np.arange(LENGTH)[:, None] < n[None, :]
-            out[index[inside]] = got[inside]
+            place = b[None, :] + np.arange(width)[:, None]
+            got = marginals_of(flat[np.minimum(place, len(flat) - 1)], n, self.between)
+            own = (place >= first[a : a + 512]) & (place < end[a : a + 512])
+            out[place[own]] = got[own]
         return [out[s : s + n] for s, n in zip(starts, sizes, strict=True)]
 
 
@@ -237,7 +253,7 @@ def held_out(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from documents with a language that aren't held out; rows without a doc_id are not learned from."""
-    rows = held_out(docs.filter("doc_id IS NOT NULL")).filter("NOT held_out").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = held_out(docs.filter("doc_id IS NOT NULL")).filter("NOT held_out").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return fit(sample(rows, "lang", per_language))
 
 

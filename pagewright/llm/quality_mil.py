@@ -1,7 +1,7 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of up to 64 words; only the document has a label. Every passage becomes counts of its bytes' classes and of the steps
-between classes, word lengths and repetitions; a layer encodes it. Gated attention (a tanh and a sigmoid branch) gives each passage a weight, learned
+between classes, word lengths and repetitions, and of its words by a hash; a layer encodes it. Gated attention (a tanh and a sigmoid branch) gives each passage a weight, learned
 from the document labels alone, and the weighted sum of the encodings is scored.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHashes, text_pieces
+from .common import U64, ByteHashes, mixed, text_pieces
 from .sampling import sample_labelled
 
 PASSAGE_WORDS = 64
@@ -37,7 +37,10 @@ _CLASS[[34, 39, 40, 41, 91, 93, 123, 125]] = 8
 _CLASS[[*range(9), 11, 12, *range(14, 32), 127]] = 10
 _CLASS[192:] = 11
 _CLASS[128:192] = 12
-FEATURES = 2 * _CLASSES + 8
+_SHAPES = 2 * _CLASSES + 8
+#: Words of a passage are counted in so many classes, by a hash of their bytes.
+WORD_CLASSES = 64
+FEATURES = _SHAPES + WORD_CLASSES
 _EXP = 40.0
 
 
@@ -91,7 +94,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             np.bincount(word_passage, (kind[first] == 1) & (kind[last - 1] == 1), n) / some,
             np.log1p(words) / 5,
         ]
-        out[:, 2 * _CLASSES :] = np.stack(extra, axis=1)
+        out[:, 2 * _CLASSES : _SHAPES] = np.stack(extra, axis=1)
+        which = (mixed(hashes) % U64(WORD_CLASSES)).astype(np.int64)
+        out[:, _SHAPES:] = np.bincount(word_passage * WORD_CLASSES + which, minlength=n * WORD_CLASSES).reshape(n, WORD_CLASSES) / some[:, None]
     return np.sqrt(out), begins
 
 
@@ -121,34 +126,45 @@ class Model:
         return self.forward(x, begins)["score"]
 
 
+def slopes(model: Model, x: np.ndarray, begins: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """How the mean cross-entropy of some bags grows with each weight."""
+    p, size = model.weights, np.diff(begins)
+    f = model.forward(x, begins)
+    d = (f["score"] - y) / len(y)
+    g = {"out": f["z"].T @ d, "out0": d.sum()}
+    dz = np.repeat(d[:, None] * p["out"], size, axis=0)
+    da = (dz * f["h"]).sum(axis=1)
+    de = f["a"] * (da - np.repeat(_sums(f["a"] * da, begins), size))
+    tg = f["t"] * f["g"]
+    g["w"] = tg.T @ de
+    dtg = de[:, None] * p["w"]
+    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+    g["v"], g["u"] = f["h"].T @ dt, f["h"].T @ dg
+    dh = (f["a"][:, None] * dz + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
+    g["encode"], g["encode0"] = f["x"].T @ dh, dh.sum(axis=0)
+    return g
+
+
+def begun(x: np.ndarray, hidden: int, gate: int, r: np.random.Generator) -> Model:
+    """A model with random weights for passages like x."""
+    shape = {"encode": (x.shape[1], hidden), "encode0": (hidden,), "v": (hidden, gate), "u": (hidden, gate), "w": (gate,), "out": (hidden,), "out0": ()}
+    p = {k: r.normal(0, 1 / np.sqrt(max(1, s[0] if s else 1)), s) if k not in ("encode0", "out0") else np.zeros(s) for k, s in shape.items()}
+    return Model(p, x.mean(axis=0), x.std(axis=0) + 1e-3)
+
+
 def fit(x: np.ndarray, begins: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 30, seed: int = 3) -> Model:
     """A model from the passages of bags with labels 0 and 1; the class priors of the sample are undone by weights given with y's mean left as it is."""
     r = np.random.default_rng(seed)
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    shape = {"encode": (x.shape[1], hidden), "encode0": (hidden,), "v": (hidden, gate), "u": (hidden, gate), "w": (gate,), "out": (hidden,), "out0": ()}
-    p = {k: r.normal(0, 1 / np.sqrt(max(1, s[0] if s else 1)), s) if k not in ("encode0", "out0") else np.zeros(s) for k, s in shape.items()}
-    model = Model(p, mean, spread)
-    m, v, step = {k: np.zeros(s) for k, s in shape.items()}, {k: np.zeros(s) for k, s in shape.items()}, 0
+    model = begun(x, hidden, gate, r)
+    p = model.weights
+    m, v, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
     size = np.diff(begins)
     for _ in range(epochs):
         order = r.permutation(len(y))
         for at in range(0, len(order), 128):
             bags = order[at : at + 128]
             rows = np.concatenate([np.arange(begins[b], begins[b + 1]) for b in bags])
-            own = np.concatenate([[0], np.cumsum(size[bags])])
-            f = model.forward(x[rows], own)
-            d = (f["score"] - y[bags]) / len(bags)
-            g = {"out": f["z"].T @ d, "out0": d.sum()}
-            dz = np.repeat(d[:, None] * p["out"], size[bags], axis=0)
-            da = (dz * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.repeat(_sums(f["a"] * da, own), size[bags]))
-            tg = f["t"] * f["g"]
-            g["w"] = tg.T @ de
-            dtg = de[:, None] * p["w"]
-            dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-            g["v"], g["u"] = f["h"].T @ dt, f["h"].T @ dg
-            dh = (f["a"][:, None] * dz + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
-            g["encode"], g["encode0"] = f["x"].T @ dh, dh.sum(axis=0)
+            g = slopes(model, x[rows], np.concatenate([[0], np.cumsum(size[bags])]), y[bags])
             step += 1
             for k in p:
                 slope = g[k] + 1e-4 * p[k]

@@ -26,7 +26,7 @@ from .sampling import sample_labelled
 PER_CLASS = 2000
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
-#: Standard errors of the log odds that a selected feature is away from none, and features at most.
+#: Standard errors that a selected feature's shares are apart, and features at most.
 CLEAR = 4.0
 SELECTED = 3000
 LEAST_DOCUMENTS = 5
@@ -76,6 +76,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(value - self.thresholds[None, :], -40, 40)))
 
 
+def _clear(a: int, n: int, b: int, m: int) -> float:
+    """The square root of the likelihood ratio of two shares, a of n and b of m: in standard errors, but right also where one of them is 0."""
+    share = (a + b) / (n + m)
+    cells = ((a, n * share), (n - a, n * (1 - share)), (b, m * share), (m - b, m * (1 - share)))
+    return max(0.0, 2 * sum(x * np.log(x / e) for x, e in cells if x)) ** 0.5
+
+
 def _select(texts: list[str], bad: np.ndarray) -> list[tuple[str, float]]:
     """The names whose document frequency tells the two sides apart most clearly, with their log odds.
 
@@ -94,12 +101,27 @@ def _select(texts: list[str], bad: np.ndarray) -> list[tuple[str, float]]:
         if frequency[1][x] + frequency[0][x] < LEAST_DOCUMENTS:
             continue
         odds = np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))
-        z = odds / np.sqrt(1 / a + 1 / b + 1 / (n1 - a + 1) + 1 / (n0 - b + 1))
-        if abs(z) > CLEAR:
-            found.append((-abs(z), x, odds))
+        clear = _clear(frequency[1][x], int(bad.sum()), frequency[0][x], int((~bad).sum()))
+        if clear > CLEAR:
+            found.append((-clear, x, odds))
     return [(x, odds) for _, x, odds in sorted(found)[:SELECTED]]
 
 
+def slopes(score: np.ndarray, thresholds: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How the log-likelihood of each row's grade grows with its score, and that of all rows with each threshold."""
+    cum = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds[None, :], -40, 40)))
+    # likelihood of the grade itself: the difference of neighbouring cumulative probabilities
+    edge = np.ones((len(score), 1))
+    upper, lower = np.concatenate([edge, cum], axis=1), np.concatenate([cum, 0 * edge], axis=1)
+    here = np.maximum(np.take_along_axis(upper - lower, grade[:, None], 1)[:, 0], 1e-9)
+    slope, dens, rows = np.zeros_like(cum), cum * (1 - cum), np.arange(len(score))
+    has = grade > 0
+    slope[rows[has], grade[has] - 1] += dens[rows[has], grade[has] - 1] / here[has]
+    has = grade < len(thresholds)
+    slope[rows[has], grade[has]] -= dens[rows[has], grade[has]] / here[has]
+    return slope.sum(axis=1), -slope.sum(axis=0)
+
+
 def fit(rows: list[tuple[str, int]], steps: int = 1200) -> Model:
     """A model from (text, label) rows, with at least two labels."""
     texts = [t for t, _ in rows]
@@ -123,20 +145,8 @@ def fit(rows: list[tuple[str, int]], steps: int = 1200) -> Model:
     m = [np.zeros_like(weights), np.zeros_like(thresholds)]
     v = [np.zeros_like(weights), np.zeros_like(thresholds)]
     for step in range(1, steps + 1):
-        score = np.bincount(at, weights[place] * value, len(found))
-        cum = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds[None, :], -40, 40)))
-        # likelihood of the grade itself: the difference of neighbouring cumulative probabilities
-        upper = np.concatenate([np.ones((len(found), 1)), cum], axis=1)
-        lower = np.concatenate([cum, np.zeros((len(found), 1))], axis=1)
-        here = np.maximum(np.take_along_axis(upper - lower, grade[:, None], 1)[:, 0], 1e-9)
-        slope = np.zeros_like(cum)
-        dens = cum * (1 - cum)
-        rows_ = np.arange(len(found))
-        has = grade > 0
-        slope[rows_[has], grade[has] - 1] += dens[rows_[has], grade[has] - 1] / here[has]
-        has = grade < top
-        slope[rows_[has], grade[has]] -= dens[rows_[has], grade[has]] / here[has]
-        g = [np.bincount(place, slope.sum(axis=1)[at] * value, len(weights)) / len(found) - 1e-6 * weights, -slope.sum(axis=0) / len(found)]
+        by_score, by_threshold = slopes(np.bincount(at, weights[place] * value, len(found)), thresholds, grade)
+        g = [np.bincount(place, by_score[at] * value, len(weights)) / len(found) - 1e-6 * weights, by_threshold / len(found)]
         for x, d, a, b in zip((weights, thresholds), g, m, v, strict=True):
             a += 0.1 * (d - a)
             b += 0.01 * (d * d - b)
@@ -175,7 +185,12 @@ def grade(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
 
 
 def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is not toxic by grade()."""
+    """The rows of docs, with all their columns, whatever their names, whose text is not toxic by grade().
+
+    Null and empty texts have no features, so they stay unless the thresholds alone make everything toxic. Without a model all rows stay. Rows that repeat
+    are judged each by itself, and doc_id is not read. An empty table gives no rows.
+    """
+    at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +199,7 @@ def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5)
             if m is None:
                 yield batch
                 continue
-            texts = batch.column("text").cast(pa.string())
+            texts = batch.column(at).cast(pa.string())
             keep = np.concatenate([m.above([m.row(t) for t in texts.slice(a, 500).to_pylist()])[:, 0] < threshold for a in range(0, len(batch), 500)] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep))
 
