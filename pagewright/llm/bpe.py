@@ -169,7 +169,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The columns of encoded(ids array<int>, ...) and decoded: the bytes of the tokens in a row. Null ids: null; an id that the file lacks stands for no bytes."""
+    """The columns of encoded(ids array<int>, ...) and decoded: the bytes of the tokens in a row. Null ids: null; an id that the file lacks stands for no bytes.
+
+    Rows may repeat; no ids make no bytes. A column named decoded is replaced. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts = _vocabulary(path)

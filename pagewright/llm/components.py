@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import holding, released, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         then = stored(_small_star(_large_star(now)))
         released(now)
         now = then
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    both = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return holding(both, now)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import held, holding, stored
 
 
 def _icu(name: str, text: Column, flag: bool) -> Column:
@@ -54,7 +54,7 @@ def followers(ids: DataFrame) -> DataFrame:
     rows = ranges.withColumn("next", F.lead(F.struct("id", "first")).over(inside))
     heads = ranges.groupBy("range").agg(F.max(F.struct("id", "first")).alias("head"))
     after = heads.select("range", F.coalesce(F.lead("head").over(Window.orderBy("range")), F.max("head").over(Window.partitionBy())).alias("head"))
-    return rows.join(after, "range").select("id", F.coalesce("next", "head").alias("next")).select("id", F.col("next.id").alias("next_id"), F.col("next.first").alias("next_first"))
+    return holding(rows.join(after, "range").select("id", F.coalesce("next", "head").alias("next")).select("id", F.col("next.id").alias("next_id"), F.col("next.first").alias("next_first")), ranges)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     docs = _typed(docs)
     signed, buckets = _buckets(docs)
-    return _confirmed(docs, signed, buckets).select("doc_id", _shown(F.col("digest")).alias("digest"), "fingerprint")
+    return holding(_confirmed(docs, signed, buckets).select("doc_id", _shown(F.col("digest")).alias("digest"), "fingerprint"), signed)
 
 
 def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +112,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     signed, buckets = _buckets(docs)
     ids = signed.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("digest", "sha")).alias("first"), F.max(F.expr("n_chars div 3")).alias("part"))
     ids = stored(ids)
-    after = stored(followers(ids.select("id", "first")).join(ids.select("id", "part"), "id"))
+    next_ = followers(ids.select("id", "first"))
+    after = stored(holding(next_.join(ids.select("id", "part"), "id"), *held(next_)))
     # only the beginning of the next text moves on
     lead = _texts(docs).alias("d").join(after.filter("part > 0").alias("a"), F.col("d.doc_id") == F.col("a.next_id"))
     if _repeats(ids, signed):
@@ -136,7 +137,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     out = edited.join(named.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")) & (edited.sha == named.sha)).drop(named.sha)
     out = out.join(buckets.select(F.col("digest").alias("edited_digest"), "first_sha"), "edited_digest", "left")
     out = out.join(after.select(F.col("id").alias("doc_id"), "next_first"), "doc_id", "left")
-    return out.select(
+    out = out.select(
         "doc_id",
         "n_chars",
         _shown(F.col("edited_sha256")).alias("edited_sha256"),
@@ -145,6 +146,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "near_edited",
         F.coalesce((F.col("digest") == F.col("next_first.digest")) & (F.col("sha") == F.col("next_first.sha")), F.lit(False)).cast("double").alias("near_next"),
     )
+    return holding(out, signed, ids, after)
 
 
 def _repeats(ids: DataFrame, signed: DataFrame) -> bool:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ByteHashes, lists, mixed, released, sorted_groups, stored, text_pieces
+from .common import U64, ByteHashes, held, holding, lists, mixed, released, sorted_groups, stored, text_pieces
 from .components import components
 
 WORDS = 5
@@ -259,4 +259,5 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     groups = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")).union(same))
     released(members, taken, grams, linked, classes, reps, rest_rows)
     out = signed.select("doc_id", "n_shingles").join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True))
+    return holding(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept")), signed, *held(groups))

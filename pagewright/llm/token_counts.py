@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import holding, stored
 
 #: Bytes of text that make a block (it ends with the document that reaches them).
 BLOCK_BYTES = 32 << 20
@@ -195,7 +195,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, spe
     counted = entries.repartition("piece").sortWithinPartitions("piece").mapInArrow(_count(path), "block long, counts binary")
     back = counted.groupBy("block").agg(F.collect_list("counts").alias("counts"))
     sums = blocks.drop("vocabulary").join(back, "block", "left").mapInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
-    return sums.withColumn("over_limit", F.col("n_tokens") > limit)
+    return holding(sums.withColumn("over_limit", F.col("n_tokens") > limit), blocks)
 
 
 def added_tokens(path: str) -> list[str]:
