@@ -25,11 +25,11 @@ BYTES_PER_TOKEN = 3.8
 
 
 def fold(word: Column) -> Column:
-    """Lower case without accents (ñ stays), without combining marks, and with ligatures written out."""
+    """Lower case without accents (ñ stays), without combining marks, and with ligatures written out. ASCII words, nearly all, only lose their case."""
     out = F.translate(F.lower(word), MARKED + "".join(map(chr, range(0x300, 0x370))), PLAIN)
     for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(out)
 
 
 def is_term(folded: Column) -> Column:
@@ -131,10 +131,5 @@ def bm25(tf: Column, length: Column, average: Column, weight: Column, k1: float
     return weight * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / average))
 
 
-def related_names(text: Column) -> Column:
-    """Names in a list parted by commas, semicolons or line feeds, of 3 to 40 bytes."""
-    return F.filter(F.transform(F.split(text, "[,;\n]"), trimmed), lambda x: F.octet_length(x).between(3, 40))
-
-
 def outline_line(level: Column, title: Column, first: Column, last: Column) -> Column:
     return F.concat(F.repeat(F.lit("  "), F.greatest(level - 1, F.lit(0))), F.lit("* "), title, F.lit(" (pp. "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(")"))

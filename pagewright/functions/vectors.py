@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSION = 128
+#: Words whose vectors a worker keeps, about; 30 MB.
+REMEMBERED = 30_000
 # The constants of 64-bit FNV-1a and of the finalizer that mixes its result.
 FNV_OFFSET = 0xCBF29CE484222325
 FNV_PRIME = 0x00000100000001B3
@@ -53,16 +55,35 @@ def word_vectors(words: list[str], dimension: int) -> np.ndarray:
     return np.bincount(place, signed, len(words) * dimension).reshape(len(words), dimension)
 
 
-def embed_texts(texts: list[str | None], dimension: int = DIMENSION) -> np.ndarray:
+class WordTable:
+    """The vectors of words met so far; forgotten when there are more than REMEMBERED."""
+
+    def __init__(self, dimension: int):
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, dimension))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the rows of some words are."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        while len(self.rows) < len(self.known) + len(new):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for at in range(0, len(new), 2000):
+            part, first = new[at : at + 2000], len(self.known)
+            self.rows[first : first + len(part)] = word_vectors(part, self.rows.shape[1])
+            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
+def embed_texts(texts: list[str | None], dimension: int = DIMENSION, table: WordTable | None = None) -> np.ndarray:
     """A vector of length 1 for each text (zeros without words)."""
-    split = [(t or "").lower().split() for t in texts]
-    known = {w: i for i, w in enumerate({w for ws in split for w in ws})}
-    table = word_vectors(list(known), dimension)
+    table = table or WordTable(dimension)
     out = np.zeros((len(texts), dimension))
-    for i, ws in enumerate(split):
-        if ws:
-            places, times = np.unique([known[w] for w in ws], return_counts=True)
-            out[i] = times @ table[places]
+    for i, t in enumerate(texts):
+        if words := (t or "").lower().split():
+            places, times = np.unique(table.places(words), return_counts=True)
+            out[i] = times @ table.rows[places]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -72,25 +93,25 @@ def embedding(dimension: int = DIMENSION):
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = WordTable(dimension)
         for texts in batches:
-            out = []
-            for at in range(0, len(texts), 200):
-                out += list(embed_texts(texts.iloc[at : at + 200].tolist(), dimension).astype(np.float32))
-            yield pd.Series(out)
+            yield pd.Series(list(embed_texts(texts.tolist(), dimension, table).astype(np.float32)))
 
     return embed
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity between 0 and 1; 0 for empty vectors or different lengths."""
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+
 
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+def norm(a: Column) -> Column:
+    """The length of a vector."""
+    return F.sqrt(_total(F.transform(a, lambda y: y.cast("double") * y.cast("double"))))
 
-    def square(x: Column) -> Column:
-        return F.sqrt(total(F.transform(x, lambda y: y.cast("double") * y.cast("double"))))
 
-    dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    size = square(a) * square(b)
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine similarity between 0 and 1; 0 for empty vectors or different lengths. Lengths that are known already needn't be taken anew for each pair."""
+    dot = _total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+    size = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     usable = (F.size(a) > 0) & (F.size(a) == F.size(b))
     return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / F.greatest(size, F.lit(1e-9))))).otherwise(F.lit(0.0))

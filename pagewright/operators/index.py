@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 from ..sources.scratch import new_folder
 
 #: Pages with fewer bytes are no units.
@@ -21,10 +22,13 @@ SHORTEST_PAGE = 20
 
 @dataclass
 class Index:
+    """units have their unit vector and its length, so that only queries are embedded when one searches. bare are the units before they were counted."""
+
     units: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    bare: DataFrame | None = None
 
     def persist(self) -> Index:
         """Keeps the tables in memory and on disk; Spark drops and rebuilds blocks as it needs to."""
@@ -33,12 +37,18 @@ class Index:
         return self
 
     def save(self, folder: str) -> None:
-        """Writes the tables; postings and terms are sorted by term, so a scan for a few terms skips most row groups, and units by unit_id."""
-        self.persist()  # dealing rows to ranges reads them twice
-        for name, key in (("units", "unit_id"), ("postings", "term"), ("terms", "term")):
-            getattr(self, name).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
-        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
-        self.unpersist()
+        """Writes the tables, each dealt by its key and sorted, so a scan for a few terms skips most row groups. Words are counted once: terms, lengths and
+        statistics are made of the postings as written."""
+        spark = self.units.sparkSession
+
+        def write(name: str, rows: DataFrame, key: str) -> DataFrame:
+            rows.repartition(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
+            return spark.read.parquet(f"{folder}/{name}")
+
+        postings = write("postings", self.postings, "term")
+        write("terms", postings.groupBy("term").agg(F.count("*").alias("df")), "term")
+        units = self.units if self.bare is None else _counted(self.bare, postings.select("unit_id", "length").distinct())
+        corpus_stats(write("units", units, "unit_id")).write.mode("overwrite").parquet(f"{folder}/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
@@ -50,7 +60,8 @@ class Index:
 
 
 class IndexCache:
-    """The latest few indices by signature; the oldest goes first. They are written once and read from their files, so plans of queries begin at scans."""
+    """The latest few indices by signature, which must tell contents apart; the oldest goes first. They are written once and read from their files, so plans of
+    queries begin at scans."""
 
     def __init__(self, size: int = 4):
         self.size = size
@@ -112,20 +123,36 @@ def units(pages: DataFrame, sections: DataFrame) -> DataFrame:
     return section_units(pages, sections).unionByName(page_units(pages))
 
 
-def terms_of(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term) for each term of each row, as often as it occurs; folding and filtering run in generated code behind the explosion."""
-    out = rows.select(key, F.explode(T.words(F.col(text))).alias("word")).select(key, T.fold(F.col("word")).alias("term"))
+def terms_of(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, term) for each term of each row, as often as it occurs; folding and filtering run in generated code behind the explosion."""
+    out = rows.select(*keys, F.explode(T.words(F.col(text))).alias("word")).select(*keys, T.fold(F.col("word")).alias("term"))
     return out.filter(T.is_term(F.col("term")))
 
 
+def term_counts(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """(unit_id, term, tf): the words of a page are counted once, and a section's are the sum of its pages' and its title's."""
+    own = F.octet_length(T.trimmed(F.coalesce("text", F.lit("")))) > SHORTEST_PAGE
+    p = pages.select("doc_id", F.col("page_number").cast("int").alias("page_number"), own.alias("own"), "text")
+    each = terms_of(p, "doc_id", "page_number", "own").groupBy("doc_id", "page_number", "own", "term").agg(F.count("*").alias("n"))
+    of_pages = each.filter("own").select(F.concat("doc_id", F.lit(":p"), F.col("page_number").cast("string")).alias("unit_id"), "term", "n")
+    s = sections.select("doc_id", F.concat("doc_id", F.lit(":sec:"), "section_id").alias("unit_id"), "title", "page_start", "page_end")
+    inside = each.join(s.drop("title"), "doc_id").filter(F.col("page_number").between(F.col("page_start"), F.col("page_end"))).select("unit_id", "term", "n")
+    titles = terms_of(s, "unit_id", text="title").select("unit_id", "term", F.lit(1).cast("long").alias("n"))
+    return of_pages.union(inside).union(titles).groupBy("unit_id", "term").agg(F.sum("n").alias("tf"))
+
+
+def _counted(units: DataFrame, lengths: DataFrame) -> DataFrame:
+    return units.join(lengths, "unit_id", "left").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
+
+
 def build(pages: DataFrame, sections: DataFrame) -> Index:
     """The index of some documents."""
-    u = units(pages, sections)
-    tf = terms_of(u, "unit_id").groupBy("unit_id", "term").agg(F.count("*").alias("tf"))
+    bare = units(pages, sections).withColumn("vector", V.embedding()("text")).withColumn("vector_norm", V.norm(F.col("vector")))
+    tf = term_counts(pages, sections)
     lengths = tf.groupBy("unit_id").agg(F.sum("tf").alias("length"))
-    u = u.join(lengths, "unit_id", "left").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
-    postings = tf.join(lengths, "unit_id")
-    return Index(u, postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus_stats(u))
+    u = _counted(bare, lengths)
+    postings = tf.withColumn("length", F.sum("tf").over(Window.partitionBy("unit_id")))
+    return Index(u, postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus_stats(u), bare)
 
 
 def corpus_stats(u: DataFrame) -> DataFrame:

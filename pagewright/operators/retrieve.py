@@ -6,6 +6,8 @@ query that admits nothing is a row of no_evidence().
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..sources.scratch import kept
 from .index import Index
 
 EPSILON = 2.220446049250313e-16
@@ -127,28 +130,31 @@ def structural(query_terms: Column, title: Column, section_id: Column) -> Column
     return F.least(F.lit(1.0), share + F.when(section_id.isNotNull(), F.lit(SECTION_BONUS)).otherwise(F.lit(0.0)))
 
 
-def with_structure(hits: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
-    """hits(query_id, unit_id, ...) with title, section_id and structural_score of their units."""
+def with_structure(hits: DataFrame, terms: DataFrame, index: Index, *more: str) -> DataFrame:
+    """hits(query_id, unit_id, ...) with title, section_id, structural_score and some further columns of their units."""
     wanted = terms.groupBy("query_id").agg(F.collect_set("term").alias("query_terms"))
-    rows = hits.join(wanted, "query_id").join(index.units.select("unit_id", "title", "section_id"), "unit_id")
+    rows = hits.join(wanted, "query_id").join(index.units.select("unit_id", "title", "section_id", *more), "unit_id")
     return rows.withColumn("structural_score", structural(F.col("query_terms"), F.col("title"), F.col("section_id"))).drop("query_terms")
 
 
 def scored(queries: DataFrame, index: Index, similarity: DataFrame | None = None, weights: tuple = WEIGHTS, embed=None, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, unit_id, final_score, bm25_score, semantic_score, structural_score) for the admitted units.
 
-    similarity(query_id, unit_id, semantic) gives vector scores; without it texts of queries and admitted units are embedded. terms is the profile of the queries, if it is known.
+    similarity(query_id, unit_id, semantic) gives vector scores; without it queries are embedded and compared with the vectors of the index. Another embed than the index's
+    own is run over the texts of admitted units too. terms is the profile of the queries, if it is known.
     """
     terms = profile(queries, index) if terms is None else terms
     hits = admitted(terms, index)
     best = F.greatest(F.max("bm25").over(Window.partitionBy("query_id")), F.lit(LEAST_MAXIMUM))
     hits = hits.withColumn("normal", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / best)))
-    hits = with_structure(hits, terms, index)
+    hits = with_structure(hits, terms, index, *(("vector", "vector_norm") if similarity is None and embed is None else ()))
     if similarity is None:
-        embed = embed or V.embedding()
-        own = index.units.join(hits.select("unit_id").distinct(), "unit_id", "left_semi").select("unit_id", embed("text").alias("unit_vector"))
-        asked = queries.select("query_id", embed("query").alias("query_vector"))
-        hits = hits.join(own, "unit_id").join(asked, "query_id").withColumn("semantic_score", V.cosine(F.col("query_vector"), F.col("unit_vector")))
+        asked = queries.select("query_id", (embed or V.embedding())("query").alias("query_vector")).withColumn("query_norm", V.norm(F.col("query_vector")))
+        if embed is not None:
+            own = index.units.join(hits.select("unit_id").distinct(), "unit_id", "left_semi").select("unit_id", embed("text").alias("vector")).withColumn("vector_norm", V.norm(F.col("vector")))
+            hits = hits.join(own, "unit_id")
+        similar = V.cosine(F.col("query_vector"), F.col("vector"), F.col("query_norm"), F.col("vector_norm"))
+        hits = hits.join(asked, "query_id").withColumn("semantic_score", similar)
     else:
         hits = hits.join(similarity, ["query_id", "unit_id"], "left").withColumn("semantic_score", F.coalesce("semantic", F.lit(0.0)))
     total = weights[0] * F.col("normal") + weights[1] * F.col("semantic_score") + weights[2] * F.col("structural_score")
@@ -158,18 +164,23 @@ def scored(queries: DataFrame, index: Index, similarity: DataFrame | None = None
 # --- snippets ---------------------------------------------------------------
 
 _FOLD = {ord(a): b for a, b in zip(T.MARKED, T.PLAIN, strict=True)} | {ord(a): b for a, b in T.LIGATURES.items()} | dict.fromkeys(range(0x300, 0x370), "")
+#: Characters that fold to more or fewer of them, or by what stands around them.
+_UNEVEN = re.compile("[Σİ" + "".join(T.LIGATURES) + "\u0300-\u036f]")
 
 
 def snippet_of(text: str, terms: list[str], size: int = SNIPPET_BYTES) -> tuple[str, int]:
     """The bytes around the first term, in query order, that the folded text has, and where that term stands; the beginning if it has none."""
-    simple = text.isascii()
-    folded = text.lower() if simple else "".join(c.lower().translate(_FOLD) for c in text)
+    folded = text.lower().translate(_FOLD)
+    # as long as the text itself: character by character, but for what is written in another way at the end of a word
+    simple = len(folded) == len(text) and not _UNEVEN.search(text)
+    if not simple:
+        folded = "".join(c.lower().translate(_FOLD) for c in text)
     at = next((p for t in terms if (p := folded.find(t)) >= 0), None)
     raw = text.encode()
     if at is None:
         place = 0
     elif simple:
-        place = at
+        place = at if len(raw) == len(text) else len(text[:at].encode())
     else:
         # the character that the folded place comes from
         done = 0
@@ -221,7 +232,7 @@ def distinct_hits(hits: DataFrame, limit: int) -> DataFrame:
 def hybrid_search(queries: DataFrame, index: Index, limit: int = 5, weights: tuple = WEIGHTS, embed=None) -> DataFrame:
     """(query_id, rank, unit_id, doc_id, title, page_start, page_end, section_id, snippet, snippet_page, final_score, bm25_score, semantic_score,
     structural_score): the best distinct passages for each query. A smaller limit gives the beginning of what a larger one gives, up to repeated passages."""
-    terms = profile(queries, index).persist()  # a few rows for each query, read by several branches of the plan
+    terms = kept(profile(queries, index), "profile")  # a few rows for each query, read by several branches of the plan
     best = ranked(scored(queries, index, weights=weights, embed=embed, terms=terms), "final_score", 4 * limit)
     hits = distinct_hits(with_snippets(best, terms, index), limit)
     out = hits.join(index.units.select("unit_id", "doc_id", "title", "page_start", "page_end", "section_id"), "unit_id")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import context, extract, index, render, retrieve, structure
+from ..sources import store
 
 
 class UnknownDocument(LookupError):
@@ -64,7 +65,8 @@ class Collection:
     def index_of(self, document_id: str | None = None) -> index.Index:
         """The index of a scope; its statistics are those of the scope."""
         doc = self._scope(document_id)
-        return self.indices.get_or_build(f"{id(self.pages)} {doc}", lambda: index.build(self._of(self.pages, doc), self._of(self.sections, doc)))
+        signature = store.corpus_signature(self._of(self.doc_meta, doc).select("doc_id", "content_hash")).first()["signature"]
+        return self.indices.get_or_build(signature, lambda: index.build(self._of(self.pages, doc), self._of(self.sections, doc)))
 
     def document_query(self, queries: DataFrame, document_id: str | None = None, mode: str = "evidence", max_tokens: int = 1200, max_items: int = 4) -> DataFrame:
         """Answers to queries(query_id, query): as evidence (query_id, markdown), context (query_id, text) or hits; queries without evidence get a row that says so in the first two."""

@@ -32,8 +32,9 @@ CACHE = index.IndexCache()
 
 
 def built(spark: SparkSession, d: str) -> index.Index:
-    """The index of a folder's conversations, kept for the next query."""
-    return CACHE.get_or_build(f"{spark.sparkContext.applicationId} {d}", lambda: index.build(*conv(spark, d)))
+    """The index of a folder's conversations, kept for the next query as long as their files stay the same."""
+    files = S.file_signature(spark, f"{d}/conversations.parquet")
+    return CACHE.get_or_build(f"{spark.sparkContext.applicationId} {d} {files}", lambda: index.build(*conv(spark, d)))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:

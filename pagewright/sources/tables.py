@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def file_signature(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files below a path: another one when data change, without reading them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    told = []
+    while found.hasNext():
+        f = found.next()
+        told.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()
+
+
 def conversation_pages(conversations: DataFrame) -> DataFrame:
     """(doc_id, page_number, text): conversations as documents, turns as their pages."""
     return conversations.select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))

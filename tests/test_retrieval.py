@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.functions import vectors as V
 from pagewright.operators import context, index, retrieve
+from pagewright.plans import queries
 from pagewright.sources import tables as S
 
 
@@ -88,6 +90,48 @@ def test_snippets():
     assert retrieve.snippet_of("short", ["none"]) == ("short", 0)
     assert retrieve.snippet_of("ﬁn de la línea", ["linea"])[1] == len("ﬁn de la ".encode())
 
+    r = random.Random(3)
+    for _ in range(400):
+        text = "".join(r.choices("abÉéñ ßİΣﬁ\u0301🙂\n", k=r.randint(0, 600)))
+        term = "".join(r.choices("abeñ", k=2))
+        # character by character
+        each = [c.lower().translate(retrieve._FOLD) for c in text]
+        at = "".join(each).find(term)
+        place, done = 0, 0
+        if at >= 0:
+            for c, f in zip(text, each, strict=True):
+                if done + len(f) > at:
+                    break
+                done += len(f)
+                place += len(c.encode())
+        assert retrieve.snippet_of(text, [term])[1] == place
+
+
+def test_indices_follow_their_data(spark, tmp_path):
+    def write(word):
+        rows = [(1, 0, "user", f"a talk about {word} and the weather of today")]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+
+    write("orchids")
+    assert "orchids" in {r.term for r in queries.built(spark, str(tmp_path)).terms.collect()}
+    write("zeppelins")
+    terms = {r.term for r in queries.built(spark, str(tmp_path)).terms.collect()}
+    assert "zeppelins" in terms and "orchids" not in terms
+
+
+def test_words_are_counted_as_in_whole_units(spark):
+    pages = spark.createDataFrame([("d", 1, "one two two"), ("d", 2, "two three three and more words of it"), ("d", 3, None), ("e", 1, "x")], "doc_id string, page_number int, text string")
+    sections = spark.createDataFrame([("d", 0, "a", "Two parts", 1, 1, 3, None), ("d", 1, "b", "Inner", 2, 2, 2, "a"), ("e", 0, "c", "", 1, 1, 1, None)], "doc_id string, ord int, section_id string, title string, level int, page_start int, page_end int, parent_id string")
+    i = index.build(pages, sections)
+    want = index.terms_of(index.units(pages, sections), "unit_id").groupBy("unit_id", "term").agg(F.count("*").alias("tf"))
+    assert sorted(i.postings.select("unit_id", "term", "tf").collect()) == sorted(want.collect())
+    def own(texts: pd.Series) -> pd.Series:
+        return texts.str.len().map(lambda n: [float(n), 1.0])
+
+    vectors = F.pandas_udf(own, "array<double>")
+    q = ask(spark, "three words")
+    assert {r.unit_id for r in retrieve.hybrid_search(q, i, 5, embed=vectors).collect()} == {r.unit_id for r in retrieve.hybrid_search(q, i, 5).collect()}
+
 
 def test_section_pages_are_cited(spark):
     pages = spark.createDataFrame([("d", k, f"page {k} speaks of marker{k} and nothing else at all") for k in range(1, 6)], "doc_id string, page_number int, text string")
