@@ -198,6 +198,12 @@ SELECT query_id, unit_id, rank::INT AS rank, round(final_score, 6) AS final_scor
     "evidence_markdown": packed("").rstrip() + ",\n" + MARKDOWN + "\nSELECT query_id, md5(markdown) AS markdown_md5 FROM shown",
     "read_pages": using(["pages"], """SELECT doc_id, page_number, md5(head || CASE WHEN used > 1500 THEN substr(text, 1, greatest(0, 1500 - (used - size) - strlen(head))::BIGINT) ELSE text END) AS text_md5, used > 1500 AS truncated FROM (
 SELECT *, sum((used > 1500)::INT) OVER (PARTITION BY doc_id ORDER BY page_number) AS n_over FROM (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY page_number) AS used FROM (SELECT *, '--- Página ' || page_number || ' ---' || chr(10) AS head, strlen('--- Página ' || page_number || ' ---' || chr(10)) + strlen(text) AS size FROM pages_ WHERE page_number BETWEEN 2 AND 5))) WHERE n_over <= 1"""),
+    "expand_section": using(["pages", "secs"], """, heads AS (SELECT doc_id, section_id, page_start, page_end, '# ' || title || chr(10) || chr(10) || '**Metadatos de Provenance:** Documento: `' || doc_id || '`, Páginas: ' || page_start || '-' || page_end || ', ID: `' || section_id || '`' || chr(10) || chr(10) || '### Contenido:' || chr(10) AS head FROM secs),
+sized AS (SELECT h.*, page_number, text, ceil(strlen(text) / 3.8)::BIGINT AS own, ceil(strlen(head) / 3.8)::BIGINT AS begun FROM heads h JOIN pages_ p ON p.doc_id = h.doc_id AND page_number BETWEEN page_start AND page_end),
+spent AS (SELECT *, begun + coalesce(sum(own) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM sized),
+over AS (SELECT *, used + own > 1500 AS cut, sum((used + own > 1500)::INT) OVER (PARTITION BY doc_id ORDER BY page_number) AS n FROM spent)
+SELECT doc_id, section_id, head || string_agg(CASE WHEN cut THEN chr(10) || '--- [Página ' || page_number || ' (Parcial)] ---' || chr(10) || substr(text, 1, floor(greatest(0, 1500 - used) * 3.8)::BIGINT) || chr(10) || chr(10) || '*(Contenido podado por límite de presupuesto de contexto)*' || chr(10)
+  ELSE chr(10) || '--- [Página ' || page_number || '] ---' || chr(10) || text END, '' ORDER BY page_number) AS text FROM over WHERE n <= 1 GROUP BY doc_id, section_id, head""").replace("\n, heads", ",\nheads"),
     "heading_detect": f"WITH {HEADINGS}\nSELECT doc_id, line::INT AS line, level, title FROM headings",
     "infer_sections": f"WITH {SECTIONS}\nSELECT doc_id, ord, section_id, title, level, page_start, page_end, parent_id FROM sections",
     "outline_depth": f"WITH {SECTIONS}\nSELECT doc_id, ord, depth, repeat('  ', depth - 1) || '* ' || title || ' (pp. ' || page_start || '-' || page_end || ')' AS line FROM (SELECT *, 1 AS depth FROM sections WHERE parent_id IS NULL UNION ALL SELECT s.*, 2 FROM sections s JOIN sections p ON p.doc_id = s.doc_id AND p.ord = s.up WHERE p.parent_id IS NULL)",
