@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,9 +84,23 @@ def title_pages(sections: DataFrame, pages: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "ord").agg(F.min("page_number").alias("page"))
 
 
+def repaired(sections: list[tuple[str, int]], texts: dict[int, str]) -> list[tuple[int, bool, str]]:
+    """(page, found, preview) for the (title, page_start) of a document's sections in order: those that claim page 1 or none are looked up by title, from the
+    last page reached on; the preview is the first 160 characters of the page without control characters."""
+    numbers, lower, last, out = sorted(texts), {n: t.lower() for n, t in texts.items()}, 1, []
+    for title, page in sections:
+        wanted = title.strip().lower()
+        found = next((n for n in numbers if n >= last and wanted in lower[n]), None) if page <= 1 and len(title.strip().encode()) > 3 else None
+        page = page if found is None else found
+        last = max(last, page)
+        shown = itertools.islice((c for c in texts.get(page, "") if unicodedata.category(c) != "Cc"), 160)
+        out.append((page, found is not None, "".join(shown).strip()))
+    return out
+
+
 def reconcile(sections: DataFrame, pages: DataFrame) -> DataFrame:
-    """sections(doc_id, ord, title, page_start, ...) with the pages of those that claim page 1 or none looked up by title, from the last page reached on,
-    and with a preview of 160 characters. Which page was reached depends on all earlier sections, so the sections of a document are walked in order."""
+    """sections(doc_id, ord, title, page_start, content_preview, ...) with pages and previews as repaired() gives them. Which page was reached depends on all
+    earlier sections, so the sections of a document are walked in order."""
     texts = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
     rows = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "page_start"))).alias("s")).join(texts, "doc_id")
 
@@ -91,15 +108,8 @@ def reconcile(sections: DataFrame, pages: DataFrame) -> DataFrame:
     def walk(s: pd.Series, p: pd.Series) -> pd.Series:
         out = []
         for own, found in zip(s, p, strict=True):
-            last, got, by = 1, [], {x["page_number"]: x["text"] for x in found}
-            for x in own:
-                page = int(x["page_start"])
-                if page <= 1 and len(x["title"].encode()) > 3:
-                    page = next((n for n in sorted(by) if n >= last and x["title"].lower() in by[n].lower()), page)
-                last = max(last, page)
-                text = "".join(c for c in by.get(page, "") if c.isprintable())
-                got.append({"ord": int(x["ord"]), "page": page, "preview": text[:160].strip()})
-            out.append(got)
+            got = repaired([(x["title"], int(x["page_start"])) for x in own], {x["page_number"]: x["text"] for x in found})
+            out.append([{"ord": int(x["ord"]), "page": page, "preview": preview} for x, (page, _, preview) in zip(own, got, strict=True)])
         return pd.Series(out)
 
     each = rows.select("doc_id", F.explode(walk("s", "p")).alias("r")).select("doc_id", "r.*")

@@ -25,16 +25,19 @@ def table_cells(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def table_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, first_line, n_rows, n_columns) for each run of tabular lines that makes a table: two rows or more, most of them with the same number of cells."""
+    """(key, first_line, n_rows, n_columns) for each table in a run of tabular lines: from the first line on from which the rest of the run has two rows or more,
+    most of them with the same number of cells. Lines before it are no table."""
     rows = lines(docs, key).withColumn("cells", T.cells(F.col("content"))).withColumn("rule", T.is_separator_line(F.col("content")))
     rows = rows.withColumn("tabular", ~F.col("rule") & F.size("cells").between(2, MOST_COLUMNS))
-    order = Window.partitionBy(key).orderBy("line")
-    breaks = F.sum((~F.col("tabular") & ~F.col("rule")).cast("int")).over(order)
-    runs = rows.withColumn("run", F.coalesce(breaks, F.lit(0))).filter("tabular").withColumn("size", F.size("cells")).withColumn("chars", F.length(F.array_join("cells", "")))
-    counts = runs.groupBy(key, "run", "size").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.sum("chars").alias("chars"))
-    each = counts.groupBy(key, "run").agg(F.min("line").alias("first_line"), F.sum("n").alias("n_rows"), F.max(F.struct("n", "size")).alias("mode"), F.sum("chars").alias("chars"))
-    good = (F.col("n_rows") >= 2) & (F.col("mode.n") / F.col("n_rows") >= LEAST_SHARE) & (F.col("chars") >= LEAST_CHARACTERS)
-    return each.filter(good).select(key, "first_line", "n_rows", F.col("mode.size").alias("n_columns"))
+    breaks = F.sum((~F.col("tabular") & ~F.col("rule")).cast("int")).over(Window.partitionBy(key).orderBy("line"))
+    runs = rows.withColumn("run", breaks).filter("tabular").withColumn("size", F.size("cells")).withColumn("chars", F.length(F.array_join("cells", "")))
+    run = Window.partitionBy(key, "run")
+    rest = run.orderBy(F.col("line").desc())  # a line and all below it
+    mode = F.greatest(*(F.struct(F.sum((F.col("size") == n).cast("long")).over(rest).alias("n"), F.lit(n).alias("size")) for n in range(2, MOST_COLUMNS + 1)))
+    each = runs.select(key, "run", "line", mode.alias("mode"), F.count("*").over(rest).alias("n_rows"), F.sum("chars").over(rest).alias("chars"))
+    good = each.filter((F.col("n_rows") >= 2) & (F.col("mode.n") / F.col("n_rows") >= LEAST_SHARE) & (F.col("chars") >= LEAST_CHARACTERS))
+    first = good.withColumn("first_line", F.min("line").over(run)).filter("line = first_line")
+    return first.select(key, "first_line", "n_rows", F.col("mode.size").alias("n_columns"))
 
 
 # --- the same by rows in order, with Markdown -------------------------------

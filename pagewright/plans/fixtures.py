@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 OFF_TOPIC = "(900001, 'zirconium paella kubernetes ingress'), (900002, 'memoization of the sourdough macros'), (900003, 'the and of'), (900004, 'document content of the réplica'), (900005, 'azafrán xylophone thththth')"
 LINES = """(1, 'INTENT'), (2, 'Define the thing.'), (3, '1. First part'), (4, '1.2. Deeper'), (5, '### Third level'), (6, '# Top'), (7, '## Second'), (8, 'Chapter 4 begins here'),
 (9, 'capítulo dos'), (10, 'ends with comma,'), (11, 'A | B'), (12, '| Name | Size | Kind |'), (13, '|---|---|---|'), (14, '| one | 2 | x |'), (15, '| two | 3 | y |'), (16, ''),
-(17, 'col a    col b    col c'), (18, 'x1    y1    z1'), (19, 'x2    y2    z2'), (20, 'prose with one gap  here'), (21, '1.2.3.4 Deepest'), (22, 'CONSECUENCIAS ÑANDÚ'), (23, 'Wait...'), (24, '  ## Indented  ')"""
+(17, 'col a    col b    col c'), (18, 'x1    y1    z1'), (19, 'x2    y2    z2'), (20, 'prose with one gap  here'), (21, '1.2.3.4 Deepest'), (22, 'CONSECUENCIAS ÑANDÚ'), (23, 'Wait...'), (24, '  ## Indented  '),
+(25, 'u1  u2'), (26, 'v1  v2  v3'), (27, 'w1  w2  w3  w4'), (28, '---'), (29, 'x1  x2  x3  x4'), (30, 'y1  y2  y3  y4'), (31, '')"""
 TREE = "('a', 0, NULL, 1), ('a', 1, 0, 1), ('a', 2, 0, 4), ('a', 3, 2, 4), ('a', 4, 2, 6), ('a', 5, NULL, 9), ('a', 6, 5, 12), ('b', 0, NULL, 3), ('b', 1, NULL, 3), ('b', 2, 1, 7)"
 PAGES = """('scans', 1, '', 600, 800), ('scans', 2, 'Stamp 42', 10, 10), ('scans', 3, 'A short caption of somewhat more than fifty visible characters stands below it', 300, 200), ('scans', 4, 'A short caption of somewhat more than fifty visible characters stands below it', 100, 100),
 ('scans', 5, '', NULL, NULL), ('scans', 6, NULL, NULL, NULL), ('scans', 7, 'Few words', NULL, NULL)"""

@@ -211,8 +211,9 @@ SELECT doc_id, section_id, head || string_agg(CASE WHEN cut THEN chr(10) || '---
     "page_end_lead": f"WITH {HEADINGS}\nSELECT doc_id, line::INT AS ord, (line + 1)::INT AS page_start, greatest(line + 1, coalesce(lead(line + 1) OVER (PARTITION BY doc_id ORDER BY line) - 1, total))::INT AS page_end FROM headings",
     "title_page_lookup": using(["pages"], "SELECT w.doc_id, 0 AS ord, min(p.page_number) AS page FROM (SELECT doc_id, lower(string_split(text, ' ')[2]) AS title FROM pages_ WHERE page_number = 2) w JOIN pages_ p ON p.doc_id = w.doc_id AND contains(lower(p.text), title) WHERE strlen(title) > 3 GROUP BY w.doc_id"),
     "table_cells": f"WITH {CELLS}\nSELECT doc_id, line::INT AS line, array_to_string(cells, '¦') AS cells, len(cells)::INT AS n FROM ct WHERE len(cells) BETWEEN 2 AND 8 AND NOT rule",
-    "table_blocks": f"WITH {CELLS},\ntb AS (SELECT *, NOT rule AND len(cells) BETWEEN 2 AND 8 AS tabular FROM ct), runs AS (SELECT *, sum((NOT tabular AND NOT rule)::INT) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM tb), counts AS (SELECT doc_id, run, len(cells) AS size, count(*) AS n, min(line) AS line, sum(length(array_to_string(cells, ''))) AS chars FROM runs WHERE tabular GROUP BY doc_id, run, len(cells)), "
-    "blocks AS (SELECT doc_id, min(line) AS first_line, sum(n) AS n_rows, max({'n': n, 'size': size}) AS mode, sum(chars) AS chars FROM counts GROUP BY doc_id, run)\nSELECT doc_id, first_line::INT AS first_line, n_rows::BIGINT AS n_rows, mode.size::INT AS n_columns FROM blocks WHERE n_rows >= 2 AND mode.n / n_rows >= 0.65 AND chars >= 8",
+    "table_blocks": f"WITH {CELLS},\ntb AS (SELECT *, NOT rule AND len(cells) BETWEEN 2 AND 8 AS tabular FROM ct), runs AS (SELECT *, sum((NOT tabular AND NOT rule)::INT) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM tb), "
+    "counts AS (SELECT a.doc_id, a.run, a.line, len(b.cells) AS size, count(*) AS n, sum(length(array_to_string(b.cells, ''))) AS chars FROM runs a JOIN runs b ON a.doc_id = b.doc_id AND a.run = b.run AND b.line >= a.line WHERE a.tabular AND b.tabular GROUP BY ALL), "
+    "starts AS (SELECT doc_id, run, line, sum(n)::BIGINT AS rows_, max({'n': n, 'size': size}) AS mode, sum(chars) AS chars_ FROM counts GROUP BY ALL)\nSELECT doc_id, line::INT AS first_line, rows_ AS n_rows, mode.size::INT AS n_columns FROM starts WHERE rows_ >= 2 AND mode.n / rows_ >= 0.65 AND chars_ >= 8 QUALIFY row_number() OVER (PARTITION BY doc_id, run ORDER BY line) = 1",
     "page_classify": f"WITH {KINDS}\nSELECT doc_id, page_number, visible, kind FROM kinds",
     "scan_summary": f"WITH {KINDS}\nSELECT doc_id, count(*) AS total_pages, count(*) FILTER (kind = 'scanned_image') AS scanned_pages, count(*) FILTER (kind = 'empty') AS empty_pages, sum(strlen(coalesce(text, '')))::BIGINT AS resident_bytes FROM kinds GROUP BY doc_id",
     "link_extract": f"WITH {LINKS}\nSELECT page_id, ord::INT AS ord, uri, kind FROM links",

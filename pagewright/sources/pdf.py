@@ -709,6 +709,21 @@ def outline_of(pdf: Pdf, numbers: dict) -> list[dict]:
     return out
 
 
+def with_found_pages(sections: list[dict], pages: list[dict]) -> list[dict]:
+    """Sections with the pages that have their titles, where the outline names none, ids to match, and previews."""
+    from ..operators.structure import repaired
+
+    got = repaired([(s["title"], s["page_start"]) for s in sections], {p["page_number"]: p["text"] for p in pages})
+    for s, (page, found, preview) in zip(sections, got, strict=True):
+        if found:
+            s |= {"page_start": page, "page_end": page, "section_id": f"{slug(s['title'])}-p{page}"}
+        s["content_preview"] = preview
+    ids = {s["ord"]: s["section_id"] for s in sections}
+    for s in sections:
+        s["parent_id"] = ids.get(s["parent_ord"])
+    return sections
+
+
 def with_page_ends(sections: list[dict], total: int) -> list[dict]:
     """page_end of each section: before the next sibling for a leaf, the last child's end for others."""
     kids: dict[int | None, list[dict]] = {}
@@ -837,7 +852,7 @@ def parse(data: bytes, path: str = "", password: str | None = None) -> dict:
     info = info if isinstance(info, dict) else {}
     stem = re.sub(r"\.[^.]*$", "", path.rstrip("/").rpartition("/")[2]) or "document"
     title = text_of(pdf.get(info.get("Title"))) or stem
-    sections, forms, attachments = with_page_ends(outline_of(pdf, numbers), len(pages)), forms_of(pdf, pages), attachments_of(pdf, pages)
+    sections, forms, attachments = with_page_ends(with_found_pages(outline_of(pdf, numbers), rows), len(pages)), forms_of(pdf, pages), attachments_of(pdf, pages)
     mark = pdf.get(pdf.catalog.get("MarkInfo"))
     tagged = isinstance(pdf.get(pdf.catalog.get("StructTreeRoot")), dict) or (isinstance(mark, dict) and pdf.get(mark.get("Marked")) is True)
     meta = {"doc_id": slug(title), "title": title, "author": text_of(pdf.get(info.get("Author"))) or None, "total_pages": len(pages), "total_sections": len(sections), "file_size_bytes": len(data), "content_hash": hashlib.sha256(data).hexdigest(), "is_encrypted": pdf.encrypted, "untrusted_text_detected": any(r["untrusted_text_detected"] for r in rows), "scanned_pages_count": sum(r["kind"] == "scanned_image" for r in rows), "source_path": path, "total_links": len(links), "has_forms": bool(forms), "total_form_fields": len(forms), "is_tagged": tagged, "has_attachments": bool(attachments), "total_attachments": len(attachments)}
@@ -848,7 +863,7 @@ def parse(data: bytes, path: str = "", password: str | None = None) -> dict:
 
 META = "doc_id string, title string, author string, total_pages int, total_sections int, file_size_bytes long, content_hash string, is_encrypted boolean, untrusted_text_detected boolean, scanned_pages_count int, source_path string, total_links int, has_forms boolean, total_form_fields int, is_tagged boolean, has_attachments boolean, total_attachments int"
 PAGES = "page_number int, text string, char_count int, untrusted_text_detected boolean, kind string, image_count int"
-SECTIONS = "ord int, section_id string, title string, level int, page_start int, page_end int, parent_id string, parent_ord int"
+SECTIONS = "ord int, section_id string, title string, level int, page_start int, page_end int, parent_id string, parent_ord int, content_preview string"
 LINKS = "page_number int, ord int, kind string, uri string, target_page int, named_target string, rect array<double>"
 FORMS = "ord int, name string, fully_qualified_name string, field_type string, value string, default_value string, read_only boolean, required boolean, page_number int, rect array<double>"
 ATTACHMENTS = "ord int, id string, filename string, description string, mime_type string, size_bytes long, checksum_md5 string, mod_date string, is_text boolean, page_number int, data binary"

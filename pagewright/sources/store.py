@@ -1,4 +1,4 @@
-"""The document store: Parquet tables partitioned by content hash, upserts, look-ups, question files, sinks."""
+"""The document store: Parquet tables in batches, upserts, look-ups, question files, sinks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import extract
+from . import scratch
 
 TABLES = ["doc_meta", "pages", "sections", "links", "forms", "attachments"]
 
@@ -45,22 +46,35 @@ def merged(disk: DataFrame, memory: DataFrame, key: str = "doc_id") -> DataFrame
 
 
 class Store:
-    """Tables under a folder; each document's rows stand in the partition of its content hash, which is written anew as a whole."""
+    """Tables under a folder, written batch by batch.
+
+    A batch holds whole documents, and counts once its doc_meta, which is written last, is complete. The last version of a doc_id counts, and the last document
+    of a content hash; among those of one batch the one with the smallest hash, or id. Rows that no longer count stay in their files until compact().
+    Every row has a doc_id and a content_hash. There is one writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or spark.conf.get("spark.pagewright.store.dir", None) or os.environ.get("PAGEWRIGHT_STORE_DIR") or f"{spark.conf.get('spark.sql.warehouse.dir')}/pagewright"
 
     def save(self, tables: dict[str, DataFrame]) -> None:
-        """Writes tables with a content_hash column; partitions of the same hash are replaced."""
-        for name, df in tables.items():
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content_hash").parquet(f"{self.folder}/{name}")
+        """Writes doc_meta and other tables of documents; they replace what was saved of the same documents before."""
+        if "doc_meta" not in tables:
+            raise ValueError("a batch needs the table doc_meta")
+        batch = self._next()
+        for name in sorted(tables, key="doc_meta".__eq__):
+            self._write(tables[name], name, batch)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        """The rows of a table that count. What no longer counts is left out by a join with the versions that were replaced, which are few after compact()."""
+        rows = self._files(name)
+        if rows is None:
+            raise LookupError(f"the store has no table {name!r}")
+        gone = self._versions().filter("NOT counts").select("doc_id", "content_hash", "batch")
+        return rows.join(gone, ["doc_id", "content_hash", "batch"], "left_anti").select([c for c in rows.columns if c != "batch"])
 
     def load_by_hash(self, digest: str) -> dict[str, DataFrame]:
-        """The tables of one document, by partition pruning."""
+        """The tables of one document; files without its hash are passed over by their statistics and Bloom filters."""
         return {t: self.read(t).filter(F.col("content_hash") == digest) for t in TABLES if self._there(t)}
 
     def get(self, id_or_hash: str) -> DataFrame:
@@ -72,16 +86,64 @@ class Store:
         return self.read("doc_meta").orderBy("doc_id")
 
     def remove_by_hash(self, digest: str) -> bool:
-        """Deletes a document's partitions; whether there were any."""
-        found = False
-        for t in TABLES:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{t}/content_hash={digest}")
-            found |= path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        return found
+        """Removes the document with a hash until it is saved again; whether there was one."""
+        if not self._there("doc_meta") or self.read("doc_meta").filter(F.col("content_hash") == digest).isEmpty():
+            return False
+        self._write(self.spark.range(1).select(F.lit(digest).alias("content_hash")), "removed", self._next())
+        return True
+
+    def compact(self) -> None:
+        """Writes the rows that count as one batch and deletes the files of all earlier ones; tables read before must be read again."""
+        old, batch = self._batches("doc_meta"), self._next()
+        for name in [*(t for t in TABLES if t != "doc_meta" and self._there(t)), "doc_meta"]:
+            self._write(self.read(name), name, batch)
+        for name in [*reversed(TABLES), "removed"]:
+            for b in self._batches(name):
+                if b < batch and (b in old or name == "removed"):
+                    self._delete(f"{name}/batch={b}")
+
+    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
+        sorted_rows = rows.sortWithinPartitions("content_hash").write.mode("overwrite").option("parquet.bloom.filter.enabled#content_hash", "true")
+        sorted_rows.parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def _files(self, name: str) -> DataFrame | None:
+        """All rows of complete batches, with their batch; None without any."""
+        done = set(self._batches("removed" if name == "removed" else "doc_meta"))
+        paths = [f"{self.folder}/{name}/batch={b}" for b in self._batches(name) if b in done]
+        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(*paths) if paths else None
+
+    def _versions(self) -> DataFrame:
+        """(doc_id, content_hash, batch, counts) of all documents of all batches."""
+        rows = self._files("doc_meta").select("doc_id", "content_hash", "batch").distinct()
+        last = lambda key, then: F.row_number().over(Window.partitionBy(key).orderBy(F.col("batch").desc(), then)) == 1
+        rows = rows.withColumn("counts", last("doc_id", "content_hash")).withColumn("counts", F.col("counts") & last("content_hash", "doc_id"))
+        removed = self._files("removed")
+        if removed is None:
+            return rows
+        until = removed.groupBy("content_hash").agg(F.max("batch").alias("until"))
+        return rows.join(until, "content_hash", "left").withColumn("counts", F.col("counts") & (F.coalesce("until", F.lit(-1)) < F.col("batch"))).drop("until")
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _batches(self, name: str) -> list[int]:
+        """The numbers of a table's complete batches."""
+        path, fs = self._path(name)
+        if not fs.exists(path):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return sorted(int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(self._path(f"{name}/{n}/_SUCCESS")[0]))
+
+    def _next(self) -> int:
+        return max([*self._batches("doc_meta"), *self._batches("removed")], default=-1) + 1
 
     def _there(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return bool(set(self._batches(name)) & set(self._batches("doc_meta")))
+
+    def _delete(self, name: str) -> None:
+        path, fs = self._path(name)
+        fs.delete(path, True)
 
 
 QUESTIONS = "id string, query string, domain string, expected_concepts array<string>, target_tool string, evaluation_criteria struct<requires_provenance:boolean,max_context_tokens:int>"
@@ -109,18 +171,28 @@ def as_json(rows: DataFrame) -> DataFrame:
 
 
 def write_attachments(attachments: DataFrame, folder: str) -> DataFrame:
-    """Writes each attachment with a safe name as a file below folder/<doc_id> (through Hadoop, so any store does) and returns (doc_id, filename, written); unsafe names are skipped."""
+    """Writes each attachment with a safe name as a file below folder/<doc_id> and returns (doc_id, filename, written); unsafe names are skipped.
+
+    Executors write the files, through Arrow's file systems: the folder is an absolute path or URI that all of them reach. A task that runs again writes its files
+    again. Of attachments of one document with the same name, one stays.
+    """
     from urllib.parse import quote
 
-    rows = attachments.withColumn("safe", extract.safe_name(F.col("filename")))
-    spark = attachments.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    done = []
-    for r in rows.toLocalIterator():
-        if r["safe"] is not None:
-            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{quote(str(r['doc_id']), safe='')}/{r['safe']}")
-            out = path.getFileSystem(conf).create(path, True)
-            out.write(bytes(r["data"] or b""))
-            out.close()
-        done.append((str(r["doc_id"]), r["filename"], r["safe"] is not None))
-    return spark.createDataFrame(done, "doc_id string, filename string, written boolean")
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def write(batches):
+        files, top = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for r in batch.select(["doc_id", "safe", "data"]).to_pylist():
+                if r["safe"] is not None:
+                    own = f"{top}/{quote(r['doc_id'], safe='')}"
+                    files.create_dir(own, recursive=True)
+                    with files.open_output_stream(f"{own}/{r['safe']}") as out:
+                        out.write(bytes(r["data"] or b""))
+            written = pa.array([x is not None for x in batch.column("safe").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("filename"), written], ["doc_id", "filename", "written"])
+
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = attachments.select(doc.alias("doc_id"), "filename", extract.safe_name(F.col("filename")).alias("safe"), "data")
+    return scratch.kept(rows.mapInArrow(write, "doc_id string, filename string, written boolean"), "attachments")

@@ -10,7 +10,7 @@ from ..sources.store import Store
 
 
 def ingest_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Watches a folder; each micro-batch is upserted by content hash, so a batch that runs twice changes nothing."""
+    """Watches a folder; each micro-batch is upserted by document, so a batch that runs twice changes nothing."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(folder)
 
     def upsert(batch, _: int) -> None:

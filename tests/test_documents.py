@@ -140,6 +140,36 @@ def test_ingest_store_and_tools(spark, tmp_path):
     assert s.load_by_hash(digest)["pages"].count() == 2 and s.remove_by_hash(digest) and not s.remove_by_hash(digest)
 
 
+def test_store_versions(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+
+    def save(*docs):
+        meta = spark.createDataFrame([(d, h) for d, h, _ in docs], "doc_id string, content_hash string")
+        pages = spark.createDataFrame([(d, h, t) for d, h, t in docs], "doc_id string, content_hash string, text string")
+        s.save({"doc_meta": meta, "pages": pages})
+
+    shown = lambda: sorted(map(tuple, s.read("pages").collect()))
+    with pytest.raises(LookupError):
+        s.read("pages")
+    with pytest.raises(ValueError):
+        s.save({})
+    assert not s.remove_by_hash("h1")
+    save(("a", "h1", "old"), ("b", "h2", "same"))
+    save(("a", "h3", "new"), ("c", "h4", "other"))
+    want = [("a", "h3", "new"), ("b", "h2", "same"), ("c", "h4", "other")]
+    assert shown() == want and s.get("a").first()["content_hash"] == "h3" and s.get("h1").isEmpty()
+    save(("d", "h2", "same, of another id"))  # one document for each content
+    want[1] = ("d", "h2", "same, of another id")
+    assert shown() == sorted(want)
+    assert s.remove_by_hash("h3") and shown() == sorted(want[1:])  # no earlier version comes back
+    s.compact()
+    assert shown() == sorted(want[1:]) and len(list((tmp_path / "store/pages").glob("batch=*"))) == 1 and not list((tmp_path / "store/removed").glob("batch=*"))
+    save(("a", "h3", "again"))
+    assert shown() == sorted([("a", "h3", "again"), *want[1:]])
+    spark.createDataFrame([("z", "h9", "no doc_meta")], "doc_id string, content_hash string, text string").write.parquet(str(tmp_path / "store/pages/batch=99"))
+    assert len(shown()) == 3  # a batch that was never completed
+
+
 def test_stream_of_files(spark, tmp_path):
     from pagewright.streaming.ingest import ingest_stream
 
@@ -183,6 +213,21 @@ def test_outline_repair(spark):
     assert [(r.ord, r.page_start) for r in structure.reconcile(sections, pages).orderBy("ord").collect()] == [(0, 2), (1, 3), (2, 1)]
 
 
+def test_outline_repair_in_files():
+    rows = [{"ord": 0, "section_id": "alpha-p1", "title": "Alpha part", "level": 1, "page_start": 1, "page_end": 1, "parent_id": None, "parent_ord": None}]
+    rows += [{"ord": 1, "section_id": "beta-p1", "title": "Beta", "level": 2, "page_start": 1, "page_end": 1, "parent_id": "alpha-p1", "parent_ord": 0}, {"ord": 2, "section_id": "far-p4", "title": "Far", "level": 1, "page_start": 4, "page_end": 4, "parent_id": None, "parent_ord": None}]
+    pages = [{"page_number": n, "text": t} for n, t in enumerate(["contents", "the ALPHA PART\nbegins", "beta", ""], 1)]
+    got = pdf.with_page_ends(pdf.with_found_pages(rows, pages), 4)
+    assert [(r["section_id"], r["parent_id"], r["page_start"], r["page_end"], r["content_preview"]) for r in got] == [("alpha-part-p2", None, 2, 4, "the ALPHA PARTbegins"), ("beta-p3", "alpha-part-p2", 3, 4, "beta"), ("far-p4", None, 4, 4, "")]
+
+
+def test_table_starts_where_its_rows_agree(spark):
+    text = "a1  a2\nb1  b2  b3\nc1  c2  c3  c4\n----\nd1  d2  d3  d4\ne1  e2  e3  e4\n\nx1  x2\n\ny1  y2\nz1  z2"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    assert [tuple(r) for r in tables.table_blocks(docs).orderBy("first_line").collect()] == [(1, 1, 4, 4), (1, 9, 2, 2)]
+    assert tables.with_markdown_tables(text).splitlines()[:3] == ["a1  a2", "| b1 | b2 | b3 |  |", "|---|---|---|---|"]
+
+
 def test_png():
     canvas = render.Canvas(3, 2)
     canvas.set_pixel(1, 1, (9, 8, 7, 6))
