@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 DIMENSION = 128
 #: Words whose vectors a worker keeps, about; 30 MB.
 REMEMBERED = 30_000
+#: Texts are taken together until they have so many words.
+TOGETHER = 10_000
 # The constants of 64-bit FNV-1a and of the finalizer that mixes its result.
 FNV_OFFSET = 0xCBF29CE484222325
 FNV_PRIME = 0x00000100000001B3
@@ -21,37 +23,45 @@ FINAL_2 = 0xC4CEB9FE1A85EC53
 WORD_WEIGHT, THREE_WEIGHT, FOUR_WEIGHT = 2.0, 1.0, 1.2
 
 
-def hashes(features: list[str]) -> np.ndarray:
-    """The mixed FNV-1a hashes of some strings, all strings a byte at a time."""
-    raw = [f.encode() for f in features]
-    size = np.array([len(r) for r in raw], np.int64)
-    width = int(size.max()) if len(raw) else 0
-    table = np.zeros((len(raw), width), np.uint8)
-    table[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
-    h = np.full(len(raw), FNV_OFFSET, np.uint64)
-    for k in range(width):
-        h = np.where(k < size, (h ^ table[:, k]) * np.uint64(FNV_PRIME), h)
+def hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The mixed FNV-1a hashes of some stretches of bytes, all stretches a byte at a time; longer ones come last, so each step takes the rest of them."""
+    order = np.argsort(size, kind="stable")
+    at, ends = start[order], np.searchsorted(size[order], np.arange(int(size.max()) + 1) if len(size) else [0], "right")
+    h = np.full(len(start), FNV_OFFSET, np.uint64)
+    for k in range(len(ends) - 1):
+        first = ends[k]
+        h[first:] = (h[first:] ^ raw[at[first:] + k]) * np.uint64(FNV_PRIME)
     h ^= h >> np.uint64(33)
     h *= np.uint64(FINAL_1)
     h ^= h >> np.uint64(33)
     h *= np.uint64(FINAL_2)
-    return h ^ (h >> np.uint64(33))
+    h ^= h >> np.uint64(33)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def word_vectors(words: list[str], dimension: int) -> np.ndarray:
     """The vectors of single words, not normalised."""
-    features, owner, weight = [], [], []
-    for i, w in enumerate(words):
-        parts = [(w, WORD_WEIGHT), *((w[k : k + 3], THREE_WEIGHT) for k in range(len(w) - 2)), *((w[k : k + 4], FOUR_WEIGHT) for k in range(len(w) - 3))]
-        for f, x in parts:
-            features.append(f)
-            weight.append(x)
-            owner.append(i)
-    if not features:
-        return np.zeros((len(words), dimension))
-    h = hashes(features)
-    signed = np.where(h >> np.uint64(63) == 0, 1.0, -1.0) * np.array(weight)
-    place = np.array(owner) * dimension + (h % np.uint64(dimension)).astype(np.int64)
+    if not words:
+        return np.zeros((0, dimension))
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    chars = np.array([len(w) for w in words], np.int64)
+    # where each character begins, and the end
+    begin = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))
+    first = np.cumsum(chars) - chars
+    owner, start, size, weight = [np.arange(len(words))], [begin[first]], [begin[first + chars] - begin[first]], [np.full(len(words), WORD_WEIGHT)]
+    word = np.repeat(np.arange(len(words)), chars)
+    left = (first + chars)[word] - np.arange(len(word))
+    for n, x in ((3, THREE_WEIGHT), (4, FOUR_WEIGHT)):
+        at = np.flatnonzero(left >= n)
+        owner.append(word[at])
+        start.append(begin[at])
+        size.append(begin[at + n] - begin[at])
+        weight.append(np.full(len(at), x))
+    h = hashes(raw, np.concatenate(start), np.concatenate(size))
+    signed = np.where(h >> np.uint64(63) == 0, 1.0, -1.0) * np.concatenate(weight)
+    place = np.concatenate(owner) * dimension + (h % np.uint64(dimension)).astype(np.int64)
     return np.bincount(place, signed, len(words) * dimension).reshape(len(words), dimension)
 
 
@@ -77,13 +87,25 @@ class WordTable:
 
 
 def embed_texts(texts: list[str | None], dimension: int = DIMENSION, table: WordTable | None = None) -> np.ndarray:
-    """A vector of length 1 for each text (zeros without words)."""
+    """A vector of length 1 for each text (zeros without words). Words are looked up for several texts together."""
     table = table or WordTable(dimension)
     out = np.zeros((len(texts), dimension))
+    some: list[str] = []
+    ends = [0]
+
+    def add(first: int) -> None:
+        places = table.places(some)
+        for i, (a, z) in enumerate(zip(ends, ends[1:])):
+            if a < z:
+                own, times = np.unique(places[a:z], return_counts=True)
+                out[first + i] = times @ table.rows[own]
+
     for i, t in enumerate(texts):
-        if words := (t or "").lower().split():
-            places, times = np.unique(table.places(words), return_counts=True)
-            out[i] = times @ table.rows[places]
+        some += (t or "").lower().split()
+        ends.append(len(some))
+        if len(some) >= TOGETHER or i + 1 == len(texts):
+            add(i + 2 - len(ends))
+            some, ends = [], [0]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

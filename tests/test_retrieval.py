@@ -259,3 +259,18 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     assert all(want)
     monkeypatch.setattr(match, "BLOCK_QUERIES", 2)
     assert [show(a()) for a in asks] == want
+
+
+def test_pieces_of_words_are_hashed_without_a_loop_over_them():
+    import sys
+
+    words = ["palabra", "ñandú", "🙂🙂🙂🙂", "a", "é", "bc", "x" * 300]
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(1))
+    try:
+        many = V.word_vectors(words * 100, 128)
+    finally:
+        sys.setprofile(None)
+    assert np.array_equal(many, np.tile(V.word_vectors(words, 128), (100, 1))) and len(calls) < 20_000
+    texts = ["uno dos tres", None, "", "tres " * 30_000, "dos dos"] * 3
+    assert np.allclose(V.embed_texts(texts), [V.embed_texts([t])[0] for t in texts])
