@@ -252,3 +252,38 @@ def test_questions(spark, tmp_path):
     hits = spark.createDataFrame([("a0", 1, "T", 2)], "query_id string, rank int, title string, page int")
     got = evaluate.labelled_evaluation(rows, hits, hits.select("title")).first()
     assert (got.found, got.found_paraphrased, got.rightly_refused) == (1, 1, 1)
+
+
+def test_pages_are_deflated_by_runs_of_rows():
+    import time
+    import zlib
+
+    import numpy as np
+
+    from pagewright.operators import render
+
+    def pixels(png):
+        at, data, size = 8, b"", None
+        while at < len(png):
+            n, kind = int.from_bytes(png[at : at + 4]), png[at + 4 : at + 8]
+            body = png[at + 8 : at + 8 + n]
+            assert zlib.crc32(kind + body) == int.from_bytes(png[at + 8 + n : at + 12 + n])
+            if kind == b"IHDR":
+                size = int.from_bytes(body[:4]), int.from_bytes(body[4:8])
+            data += body if kind == b"IDAT" else b""
+            at += 12 + n
+        rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size[1], 1 + 4 * size[0])
+        assert not rows[:, 0].any()
+        return rows[:, 1:].reshape(size[1], size[0], 4)
+
+    r = np.random.default_rng(2)
+    images = [r.integers(0, 256, (50, 40, 4)).astype(np.uint8), np.repeat(r.integers(0, 256, (9, 40, 4)).astype(np.uint8), 7, axis=0), np.zeros((1, 3, 4), np.uint8), np.full((2, 3, 4), 255, np.uint8)]
+    for image in images:
+        assert np.array_equal(pixels(render.encode_png(image)), image)
+    page = "\n".join("w" * int(n) for n in r.integers(0, 120, 40))
+    png = render.render_layout(page, "digital_text", 400)
+    assert np.array_equal(pixels(png)[0, 0], render.BORDER) and pixels(png).shape == (566, 400, 4) and len(png) < 8000
+    blank = render.Canvas(400, 566).pixels
+    plain = np.concatenate([np.zeros((566, 1), np.uint8), blank.reshape(566, 1600)], axis=1)
+    best = lambda f: min((f(), time.thread_time())[1] - t for t in (time.thread_time() for _ in range(20)))
+    assert best(lambda: render.encode_png(blank)) < best(lambda: zlib.compress(plain.tobytes(), 6)) / 2
