@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import kept
 from . import context, retrieve
 from .index import Index
 
@@ -74,7 +75,10 @@ def markdown_report(results: DataFrame) -> str:
 def labelled_evaluation(questions: DataFrame, hits: DataFrame, titles: DataFrame) -> DataFrame:
     """One row of counts for questions(query_id, answerable, paraphrased, document_title, page_start, page_end): how many answerable ones are found among
     the first three hits(query_id, rank, title, page), how many wrongly got none, how many unanswerable ones rightly got none. Questions about documents that titles(title) lacks are skipped."""
-    known = questions.join(titles.select(F.col("title").alias("document_title")).distinct(), "document_title", "left_semi").unionByName(questions.filter("NOT answerable")).dropDuplicates(["query_id"])
+    # the few titles that are asked for are looked up among all
+    wanted = kept(questions.select(F.col("document_title").alias("title")).distinct(), "wanted")
+    there = titles.select("title").join(F.broadcast(wanted) if retrieve.few(wanted) else wanted, "title", "left_semi").distinct()
+    known = questions.join(there.select(F.col("title").alias("document_title")), "document_title", "left_semi").unionByName(questions.filter("NOT answerable")).dropDuplicates(["query_id"])
     top = hits.filter("rank <= 3").join(known.select("query_id", "page_start", "page_end"), "query_id")
     found = top.groupBy("query_id").agg(F.bool_or(F.col("page").between(F.col("page_start"), F.col("page_end"))).alias("found"), F.lit(True).alias("any"))
     rows = known.join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("any", F.coalesce("any", F.lit(False)))
